@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from checks.exact import EXACT
+from checks.modelled import EXACT, MODELLED
 
 
 def queries():
-    return {name: fn for name, (fn, _) in EXACT.items()}
+    return {**{name: fn for name, (fn, _) in EXACT.items()}, **MODELLED}
 
 
 def oracle_sql():

@@ -25,9 +25,9 @@ def booster_nodes(spark: SparkSession, model) -> tuple[pd.DataFrame, list[float]
     data = spark.read.parquet(f"{path}/data").select(
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"), F.col("nodeData.rawCount").alias("cover"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"), F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
-    return data.toPandas().sort_values(["treeID", "id"], ignore_index=True), list(model.treeWeights)
+    return data.toArrow().to_pandas().sort_values(["treeID", "id"], ignore_index=True), list(model.treeWeights)
 
 
 def _leaf_paths(tree: pd.DataFrame) -> list[tuple[float, list[int], list[float], list[float], list[float]]]:

@@ -113,7 +113,7 @@ class HybridDetector:
         m = json.loads(spark.read.text(f"{path}/meta").first()[0])
         stats = lambda d: StandardScale({k: tuple(v) for k, v in d.items()})
         pre = Preprocessor(m["features"], MedianImputer(m["medians"]), SkewLog1p(m["skewed"]), stats(m["scale"]))
-        nodes = spark.read.parquet(f"{path}/forest").toPandas().sort_values(["tree_id", "node_id"], ignore_index=True)
+        nodes = spark.read.parquet(f"{path}/forest").toArrow().to_pandas().sort_values(["tree_id", "node_id"], ignore_index=True)
         forest = IsolationForestModel(m["forest_cols"], nodes, m["psi"], m["limit"])
         booster = TreeEnsemble(GBTClassificationModel.load(f"{path}/booster"), [*pre.names, SCORE_FEATURE])
         return cls(pre, forest, m["augment_scaled"], stats(m["aug_scale"]), booster)

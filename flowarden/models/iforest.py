@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple
             continue
         f = int(rng.choice(splittable))
         cut = float(rng.uniform(lo[f], hi[f]))
+        if cut >= hi[f]:  # neighbouring floats: keep both sides non-empty
+            cut = float(lo[f])
         left = part[:, f] <= cut
         nodes.append((node, f, cut, 2 * node + 1, 2 * node + 2, len(rows), depth))
         todo += [(2 * node + 2, depth + 1, rows[~left]), (2 * node + 1, depth + 1, rows[left])]
@@ -57,7 +60,7 @@ class IsolationForest:
         spark = df.sparkSession
         want = self.trees * self.psi
         chosen = df.orderBy(hash_order(key, self.seed), key).limit(want).select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-        x = np.nan_to_num(chosen.toPandas().to_numpy(dtype=float))
+        x = np.nan_to_num(chosen.toArrow().to_pandas().to_numpy(dtype=float))
         if not len(x):
             raise ValueError("no rows to fit")
         trees, seed = self.trees, self.seed
@@ -79,7 +82,7 @@ class IsolationForest:
                     yield table
 
         tasks = min(self.trees, spark.sparkContext.defaultParallelism)
-        nodes = spark.range(0, self.trees, 1, tasks).mapInPandas(grow, NODE_SCHEMA).toPandas()
+        nodes = spark.range(0, self.trees, 1, tasks).mapInPandas(grow, NODE_SCHEMA).toArrow().to_pandas()
         shared.unpersist()
         nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
         return IsolationForestModel(list(cols), nodes, psi, limit)
@@ -146,7 +149,7 @@ class IsolationForestModel:
         return df.withColumn(name, self._path_udf(df.sparkSession, False))
 
     def node_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.nodes, NODE_SCHEMA)
+        return spark.createDataFrame(pa.Table.from_pandas(self.nodes, preserve_index=False), NODE_SCHEMA)
 
     def split_counts(self, spark: SparkSession) -> DataFrame:
         """Splits per tree and feature."""

@@ -33,7 +33,7 @@ def _range_bounds(keyed: DataFrame, ranges: int) -> list[T.Row]:
     if ranges < 2:
         return []
     want = ranges * SAMPLE_PER_RANGE
-    sample = keyed.select("__key").orderBy(F.rand(17)).limit(want).orderBy("__key").collect()
+    sample = keyed.select("__run_key").orderBy(F.rand(17)).limit(want).orderBy("__run_key").collect()
     if len(sample) < want:  # the table is smaller than the sample: one range holds it
         return []
     bounds = []
@@ -70,13 +70,13 @@ def running(
     by, order = list(by), list(order)
     if ranges is None:
         ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.withColumn("__key", F.struct(*_key_columns(df, [*by, *order])))
+    keyed = df.withColumn("__run_key", F.struct(*_key_columns(df, [*by, *order])))
     bounds = _range_bounds(keyed, ranges)
     addends = {f"__a{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(sums.values())}
     within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = keyed.withColumns(
-        {"__range": _range_id(F.col("__key"), bounds, keyed.schema["__key"].dataType), **addends}
-    ).drop("__key")
+        {"__range": _range_id(F.col("__run_key"), bounds, keyed.schema["__run_key"].dataType), **addends}
+    ).drop("__run_key")
     if not bounds:
         out = cut.withColumns({name: F.sum(a).over(within) for name, a in zip(sums, addends)})
         return out.drop("__range", *addends)

@@ -5,17 +5,16 @@ Everything up to the flows works unchanged on a table and on a stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowarden.functions.scalars import DEFAULT_DST_IP, DEFAULT_SRC_IP
-from flowarden.operators.alerts import episodes
+from flowarden.operators.alerts import EPISODE_GAP, episodes
 from flowarden.operators.flows import assemble_flows, assemble_flows_3tuple
 from flowarden.operators.history import last_n_snapshots
+from flowarden.session import materialise
 
 # Payload fields and their defaults, window length, list sizes.
 PAYLOAD_SCHEMA = (
@@ -179,60 +178,39 @@ def per_window_sink(flows: DataFrame, handle: Callable[[DataFrame, int], None],
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def online_episodes(alerts: DataFrame, gap_seconds: int = 15 * 60, lateness: str = "1 minute") -> DataFrame:
-    """Episodes of an alert stream (timestamp, type, if_score, src_ip), emitted once they can no longer change.
+def online_episodes(
+    alerts: DataFrame, out: str, gap_seconds: int = EPISODE_GAP, lateness: str = "1 minute", tie: Sequence[str] = ("src_ip",), once: bool = True
+):
+    """Episode suppression on an alert stream (type, timestamp, if_score, …), written below ``out``.
 
-    The state of a type is its open episode and the alerts still ahead of the watermark. Alerts are first
-    reduced to the lowest score per type and instant, so the state grows with distinct instants inside the
-    watermark delay, not with traffic.
+    The stream keeps the lowest-scoring alert per type and instant and releases it once the watermark has
+    passed. Each micro-batch continues the fold from one open representative per type, with the same
+    distributed fold as on a table, so a type with most of the alerts is no bottleneck. Batch folders
+    are overwritten on retry and each reads only its predecessor's, so a restart repeats nothing.
     """
-    if not alerts.isStreaming:
-        return episodes(alerts, gap_seconds)
     lowest = (
         alerts.withWatermark("timestamp", lateness)
         .groupBy("type", "timestamp")
-        .agg(F.min(F.struct("if_score", "src_ip")).alias("m"))
-        .select("type", "timestamp", F.col("m.if_score").alias("if_score"), F.col("m.src_ip").alias("src_ip"))
-    )
-    columns = ["type", "timestamp", "if_score", "src_ip"]
-    out_schema = "type string, timestamp timestamp, if_score double, src_ip string"
-    state_schema = "rep_ts timestamp, rep_score double, rep_ip string, t array<timestamp>, s array<double>, ip array<string>"
-    gap = pd.Timedelta(seconds=gap_seconds)
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rep, waiting = None, []
-        if state.exists:
-            rep_ts, rep_score, rep_ip, t, s, ip = state.get
-            rep = None if rep_ts is None else (pd.Timestamp(rep_ts), rep_score, rep_ip)
-            waiting = list(zip(map(pd.Timestamp, t), s, ip))
-        for pdf in batches:
-            waiting += zip(pdf["timestamp"], pdf["if_score"], pdf["src_ip"])
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        waiting.sort(key=lambda r: (r[0], r[1]))
-        done, held = [], []
-        for row in waiting:
-            if row[0] > mark:
-                held.append(row)
-            elif rep is None:
-                rep = row
-            elif row[0] - rep[0] > gap:
-                done.append(rep)
-                rep = row
-            elif row[1] < rep[1]:
-                rep = row
-        if rep is not None and not held and mark - rep[0] > gap:
-            done.append(rep)
-            rep = None
-        if rep is None and not held:
-            state.remove()
-        else:
-            r = rep or (None, None, None)
-            state.update((r[0], r[1], r[2], [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
-            wake = min([h[0] for h in held] + ([rep[0] + gap] if rep else []))
-            state.setTimeoutTimestamp(max(int(wake.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        if done:
-            yield pd.DataFrame([(key[0], *d) for d in done], columns=columns)
-
-    return lowest.groupBy("type").applyInPandasWithState(
-        advance, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
+        .agg(F.min_by(F.struct(*alerts.columns), F.struct("if_score", *tie)).alias("row"))
+        .select("row.*")
     )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if batch_id > 0:
+            rows = spark.read.schema(batch.schema).parquet(f"{out}/open/batch={batch_id - 1}").unionByName(batch)
+        found = materialise(episodes(rows, gap_seconds, tie=tie), "episodes")
+        newest = found.groupBy(F.col("type").alias("__type")).agg(F.max("timestamp").alias("__newest"))
+        tagged = found.join(newest, F.col("type").eqNullSafe(F.col("__type"))).withColumn("__open", F.col("timestamp") == F.col("__newest"))
+        for name, part in (("open", F.col("__open")), ("closed", ~F.col("__open"))):
+            tagged.where(part).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+
+    return per_window_sink(lowest, handle, f"{out}/checkpoint", once)
+
+
+def read_online_episodes(spark: SparkSession, out: str) -> DataFrame:
+    """Closed episodes of all batches and the ones still open after the last."""
+    still_open = spark.read.parquet(f"{out}/open")
+    last = still_open.agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{out}/closed").unionByName(still_open.where(F.col("batch") == F.lit(last))).drop("batch")
