@@ -426,24 +426,26 @@ def _(s, d):
 AUG = [*CORE_NAMES, "if_anomaly_score"]
 
 
+STAND_IN = "(250 + (total_pkts * 31 + syn_flag * 7) % 300) / CAST(1000 AS DOUBLE)"  # score from the unscaled row
+
+
 def _aug_sql(source):
     st = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in AUG)
-    return (f"aug AS (SELECT f.*, -s.if_score AS if_anomaly_score FROM {source} f JOIN scored_flows s ON f.flow_id = s.flow_id), st2 AS (SELECT {st} FROM aug) "
+    return (f"aug AS (SELECT f.*, {STAND_IN.replace('total_pkts', 'r.total_pkts').replace('syn_flag', 'r.syn_flag')} AS if_anomaly_score FROM {source} f JOIN fin r ON f.flow_id = r.flow_id), st2 AS (SELECT {st} FROM aug) "
             f"SELECT flow_id, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in AUG)} FROM aug, st2")
 
 
-@exact("j4_augment_with_score", oracle(["raw_flows", "scored_flows"], f"{CORE}, {FIN}, {SCALED}, {_aug_sql('scaled')}"))
+@exact("j4_augment_with_score", oracle(["raw_flows"], f"{CORE}, {FIN}, {SCALED}, {_aug_sql('scaled')}"))
 def _(s, d):
-    f = fin(s, d)
+    f = fin(s, d).withColumn("score", F.expr(STAND_IN))
     z = X.StandardScale.fit(f, CORE_NAMES).transform(f)
-    joined = z.join(scored(s, d).select("flow_id", "score"), "flow_id")
-    return X.augment_with_score(joined, CORE_NAMES, "score")[0].select("flow_id", *AUG)
+    return X.augment_with_score(z, CORE_NAMES, "score")[0].select("flow_id", *AUG)
 
 
-@exact("j4_augment_unscaled", oracle(["raw_flows", "scored_flows"], f"{CORE}, {FIN}, {_aug_sql('fin')}"))
+@exact("j4_augment_unscaled", oracle(["raw_flows"], f"{CORE}, {FIN}, {_aug_sql('fin')}"))
 def _(s, d):
-    joined = fin(s, d).join(scored(s, d).select("flow_id", "score"), "flow_id")
-    return X.augment_with_score(joined, CORE_NAMES, "score")[0].select("flow_id", *AUG)
+    f = fin(s, d).withColumn("score", F.expr(STAND_IN))
+    return X.augment_with_score(f, CORE_NAMES, "score")[0].select("flow_id", *AUG)
 
 
 METRICS_SQL = CONFUSION + """, mt AS (SELECT (tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision,

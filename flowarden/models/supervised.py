@@ -16,6 +16,7 @@ from flowarden.functions.scalars import col
 from flowarden.session import materialise
 
 VECTOR = "__features"
+BINS = 256  # candidate thresholds per feature
 
 
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,12 +41,12 @@ def _training_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
 
 
 def fit_random_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 12, seed: int = 42) -> TreeEnsemble:
-    est = RandomForestClassifier(featuresCol=VECTOR, labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
+    est = RandomForestClassifier(featuresCol=VECTOR, labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024)
     return TreeEnsemble(est.fit(_training_table(df, cols, label)), list(cols))
 
 
 def fit_boosted_trees(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42) -> TreeEnsemble:
-    est = GBTClassifier(featuresCol=VECTOR, labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=1024)
+    est = GBTClassifier(featuresCol=VECTOR, labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=BINS, maxMemoryInMB=1024)
     return TreeEnsemble(est.fit(_training_table(df, cols, label)), list(cols))
 
 
@@ -83,7 +84,7 @@ def fit_adaboost(df: DataFrame, cols: Sequence[str], label: str, rounds: int = 5
     weight = F.lit(1.0)
     for r in range(rounds):
         weighted = vectors.withColumn("__w", weight)
-        tree = DecisionTreeClassifier(featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxDepth=1, seed=seed + r).fit(weighted)
+        tree = DecisionTreeClassifier(featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxDepth=1, maxBins=BINS, seed=seed + r).fit(weighted)
         root = tree._java_obj.rootNode()
         if tree.numNodes == 1:
             if not model.stumps:

@@ -79,19 +79,17 @@ def order_statistics(
 
 def _narrow(df: DataFrame, intervals: list[_Interval], found) -> list[_Interval]:
     slack = 2.0 / ACCURACY
-    brackets = df.agg(
-        *[
-            F.percentile_approx(
-                t.values(),
-                [
-                    max(0.0, (t.ranks[0] - t.below + 0.5) / t.size - slack),
-                    min(1.0, (t.ranks[-1] - t.below + 0.5) / t.size + slack),
-                ],
-                ACCURACY,
-            ).alias(f"b{i}")
-            for i, t in enumerate(intervals)
+    # targets inside the same stretch of a column share one sketch
+    shared: dict[tuple, tuple[_Interval, list[float]]] = {}
+    for t in intervals:
+        probs = shared.setdefault((t.col, t.lo, t.hi), (t, []))[1]
+        probs += [
+            max(0.0, (t.ranks[0] - t.below + 0.5) / t.size - slack),
+            min(1.0, (t.ranks[-1] - t.below + 0.5) / t.size + slack),
         ]
-    ).first()
+    sketched = df.agg(*[F.percentile_approx(t.values(), ps, ACCURACY).alias(f"b{i}") for i, (t, ps) in enumerate(shared.values())]).first()
+    edges = {key: iter(values) for key, values in zip(shared, sketched)}
+    brackets = [(next(edges[t.col, t.lo, t.hi]), next(edges[t.col, t.lo, t.hi])) for t in intervals]
     measures = []
     for i, (t, (a, b)) in enumerate(zip(intervals, brackets)):
         v = t.values()
