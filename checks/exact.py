@@ -184,14 +184,14 @@ def _(s, d):
 
 
 IMPUTE = ["flow_byts_per_s", "flow_pkts_per_s", "pkt_len_mean"]
-EVEN = "(length(flow_id) % 2 = 0)"
+FITTED = "fin_flag_cnt = 1"  # the rows the statistics come from
 
 
-@exact("p5_median_imputer", oracle(["raw_flows"], "f AS (SELECT flow_id, " + ", ".join(f"CASE WHEN abs({c}) = {INF} THEN NULL ELSE {c} END AS {c}" for c in IMPUTE)
-    + f" FROM raw_flows), m AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in IMPUTE) + f" FROM f WHERE {EVEN}) SELECT flow_id, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in IMPUTE) + " FROM f, m"))
+@exact("p5_median_imputer", oracle(["raw_flows"], "f AS (SELECT flow_id, fin_flag_cnt, " + ", ".join(f"CASE WHEN abs({c}) = {INF} THEN NULL ELSE {c} END AS {c}" for c in IMPUTE)
+    + f" FROM raw_flows), m AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in IMPUTE) + f" FROM f WHERE {FITTED}) SELECT flow_id, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in IMPUTE) + " FROM f, m"))
 def _(s, d):
-    r = view(s, d, "raw_flows").select("flow_id", *IMPUTE)
-    return X.MedianImputer.fit(r.where(F.length("flow_id") % 2 == 0), IMPUTE).transform(r)
+    r = view(s, d, "raw_flows").select("flow_id", "fin_flag_cnt", *IMPUTE)
+    return X.MedianImputer.fit(r.where(FITTED), IMPUTE).transform(r).drop("fin_flag_cnt")
 
 
 SKEWS = ["totlen_fwd_pkts", "totlen_bwd_pkts", "rst_flag_cnt", "syn_flag_cnt"]
@@ -867,3 +867,13 @@ def _(s, d):
     from flowarden.plans.triage import triage
 
     return triage(window_scores(s, d), contamination=0.1)
+
+
+@exact("q11_threat_report_data", oracle(["conn_log"], TRIAGE + ", tr AS (SELECT *, CAST(timestamp AS VARCHAR) || src_ip AS k FROM lab), " + episodes_sql("tr", "k") + ", " + CONTEXT_SQL + """
+ SELECT tr.type, c.attack_type AS context_type, c.mitre, c.n_cves, count(*) AS n, min(severity) AS severity FROM tr JOIN kept ON kept.type = tr.type AND kept.k = tr.k
+ JOIN ctx c ON c.attack_type = tr.type GROUP BY 1, 2, 3, 4""", recursive=True))
+def _(s, d):
+    from flowarden.plans.triage import threat_report_data, triage
+
+    full, _ = threat_report_data(triage(window_scores(s, d), contamination=0.1))
+    return full.groupBy("type", "context_type", "mitre", F.size("cves").alias("n_cves")).agg(F.count(F.lit(1)).alias("n"), F.min("severity").alias("severity"))

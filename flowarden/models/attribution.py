@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import IMPACT_TYPE, display_name, rank_attribution
-from flowarden.session import scratch_path
+from flowarden.session import scratch_path, spread
 
 
 def booster_nodes(spark: SparkSession, model) -> tuple[pd.DataFrame, list[float]]:
@@ -125,7 +125,7 @@ class Attributor:
                 parts = [shapley_values(x[i : i + 2000], shared.value, k) for i in range(0, len(x), 2000)]
                 yield pd.Series(list(np.concatenate(parts))) if parts else pd.Series([], dtype=object)
 
-        return df.withColumn(name, phi(*self.inputs))
+        return spread(df).withColumn(name, phi(*self.inputs))
 
     def transform(self, df: DataFrame, name: str = "contributions") -> DataFrame:
         out = self.values(df)

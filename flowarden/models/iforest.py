@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import col
+from flowarden.operators.ordered import smallest
 from flowarden.operators.sampling import hash_order
+from flowarden.session import spread
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, n int, depth int"
@@ -59,7 +61,8 @@ class IsolationForest:
     def fit(self, df: DataFrame, cols: Sequence[str], key: str) -> IsolationForestModel:
         spark = df.sparkSession
         want = self.trees * self.psi
-        chosen = df.orderBy(hash_order(key, self.seed), key).limit(want).select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        narrow = df.select(col(key), hash_order(key, self.seed).alias("__h"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        chosen = smallest(narrow, ["__h", key], want).select(*[f"x{i}" for i in range(len(cols))])
         x = np.nan_to_num(chosen.toArrow().to_pandas().to_numpy(dtype=float))
         if not len(x):
             raise ValueError("no rows to fit")
@@ -132,7 +135,8 @@ class IsolationForestModel:
                 at = np.zeros(n, np.int64)
                 f, c = feature[t], threshold[t]
                 for _ in range(limit):
-                    at = 2 * at + 1 + (flat[base + f[at]] > c[at])
+                    value = flat.take(base + f.take(at))
+                    at = 2 * at + 1 + (value > c.take(at))
                 total += length[t][at - len(f)]
             return pd.Series(total / len(feature))
 
@@ -141,12 +145,13 @@ class IsolationForestModel:
     def score(self, df: DataFrame, name: str = "if_score", negate: bool = False) -> DataFrame:
         """−2^(−E[h]/c(psi)): lower is more anomalous; ``negate`` gives the positive form."""
         scale = float(average_path(self.psi)) or 1.0
+        df = spread(df)
         s = F.pow(F.lit(2.0), -self._path_udf(df.sparkSession, True) / F.lit(scale))
         return df.withColumn(name, s if negate else -s)
 
     def mean_path_length(self, df: DataFrame, name: str = "mean_path") -> DataFrame:
         """Average number of splits on the way to a row's leaf."""
-        return df.withColumn(name, self._path_udf(df.sparkSession, False))
+        return spread(df).withColumn(name, self._path_udf(df.sparkSession, False))
 
     def node_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pa.Table.from_pandas(self.nodes, preserve_index=False), NODE_SCHEMA)
@@ -185,6 +190,6 @@ class IsolationForestModel:
                     )
                     at[alive] = 2 * at[alive] + 1 + right
 
-        rows = df.select(col(key).alias("key"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        rows = spread(df).select(col(key).alias("key"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
         schema = f"key {key_type}, step int, node int, feature string, threshold double, value double, direction string"
         return rows.mapInPandas(trace, schema).withColumnRenamed("key", key)

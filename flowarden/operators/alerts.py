@@ -37,23 +37,41 @@ def episodes(
     (type, time bucket), each bucket seeing one gap of its predecessor. The fold over a segment then
     streams through sorted partitions with one row of state.
     """
-    gap = gap_seconds * 1_000_000
-    bucket = max(16 * gap, 1)
+    gap = max(gap_seconds * 1_000_000, 1)
+    bucket = 16 * gap
     payload = [c for c in df.columns if c not in (type_col, score)]
     best = (
         df.groupBy(F.col(type_col).alias("__type"), _micros(ts).alias("__t"))
         .agg(F.min(score).alias("__s"), F.min_by(F.struct(*payload), F.struct(score, *tie)).alias("__row"))
+        .select("__type", "__t", "__s", "__row")
     )
 
+    def slot(t: Column, width: int) -> Column:
+        return F.floor(t / F.lit(width)).cast("long")
+
     # each row in its bucket, and again (as look-back only) in the next one if the gap reaches there
-    home = F.floor(F.col("__t") / bucket).cast("long")
-    spread = best.select(
-        "*", F.explode(F.array_distinct(F.array(home, F.floor((F.col("__t") + gap) / bucket).cast("long")))).alias("__b"), home.alias("__home")
+    t = F.col("__t")
+    home = slot(t, bucket)
+    spread = best.select("__type", "__t", "__s", F.explode(F.array_distinct(F.array(home, slot(t + gap, bucket)))).alias("__b"))
+    spread = spread.repartition("__type", "__b")
+    at_home = F.col("__b") == home
+    # Lowest score in [t − gap, t): the part in t's own gap-wide block is a running minimum; the part in the
+    # block before is asked for by a probe placed at t − gap, answered by a running minimum from that block's
+    # end. Both are linear, however many rows share a gap, and need no further shuffle.
+    data = F.struct(F.lit(0).alias("probe"), t.alias("at"), F.col("__s").alias("s"))
+    probe = F.struct(F.lit(1).alias("probe"), (t - gap).alias("at"), F.lit(None).cast(best.schema["__s"].dataType).alias("s"))
+    points = spread.select("__type", "__b", "__t", "__s", F.explode(F.when(at_home, F.array(data, probe)).otherwise(F.array(data))).alias("p"))
+    points = points.select("__type", "__b", "__t", "__s", "p.*").withColumn("block", slot(F.col("at"), gap))
+    block = Window.partitionBy("__type", "__b", "block")
+    before = F.min("s").over(block.orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("s").over(block.orderBy(F.desc("at"), "probe").rowsBetween(Window.unboundedPreceding, 0))
+    seen = points.withColumns({"__before": before, "__after": after}).groupBy("__type", "__b", "__t").agg(
+        F.first("__s").alias("__s"), F.min(F.when(F.col("probe") == 0, F.col("__before")).otherwise(F.col("__after"))).alias("__low")
+    )
+    starts = seen.where(at_home).withColumn(
+        "__start", F.when(F.col("__low").isNull() | (F.col("__s") < F.col("__low")), F.col("__t"))
     )
     by_time = Window.partitionBy("__type", "__b").orderBy("__t")
-    reach = by_time.rangeBetween(-gap, -1)
-    seen = spread.withColumn("__low", F.min("__s").over(reach)).where(F.col("__b") == F.col("__home"))
-    starts = seen.withColumn("__start", F.when(F.col("__low").isNull() | (F.col("__s") < F.col("__low")), F.col("__t")))
     marked = starts.withColumns(
         {
             "__own": F.last("__start", True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)),
@@ -72,9 +90,9 @@ def episodes(
     member = F.struct(own.alias("seg"), F.lit(False).alias("closes"))
     closer = F.struct(prev.alias("seg"), F.lit(True).alias("closes"))
     pieces = placed.select(
-        "__type", "__t", "__s", "__row",
+        "__type", "__t", "__s",
         F.explode(F.when(F.col("__start").isNotNull() & prev.isNotNull(), F.array(member, closer)).otherwise(F.array(member))).alias("p"),
-    ).select("__type", "__t", "__s", F.col("p.seg").alias("__seg"), F.col("p.closes").alias("__closes"), "__row")
+    ).select("__type", "__t", "__s", F.col("p.seg").alias("__seg"), F.col("p.closes").alias("__closes"))
 
     key_type = pieces.schema["__type"].dataType
     keys = T.StructType(
@@ -102,9 +120,8 @@ def episodes(
         if rep is not None:
             yield pd.DataFrame([rep], columns=["__type", "__t"])
 
-    narrow = pieces.drop("__row")
     kept = (
-        narrow.repartition("__type", "__seg")
+        pieces.repartition("__type", "__seg")
         .sortWithinPartitions("__type", "__seg", "__t")
         .mapInPandas(fold, keys)
     )

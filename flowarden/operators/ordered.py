@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 SAMPLE_PER_RANGE = 32
 MAX_RANGES = 1024
+PLAIN_TOP_ROWS = 1_000_000  # tables up to here go through a plain top-n
+PRUNE_SAMPLE = 20_000
+TOP_N_LIMIT = 1_000_000  # larger n are ranked in ranges
 
 
 def _key_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
@@ -29,29 +32,36 @@ def _key_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return keys
 
 
+def _literal(row: T.Row, dtype: T.StructType) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, dtype.fields)])
+
+
+def _sorted_sample(keyed: DataFrame, rows: int, want: int) -> list[T.Row]:
+    """About ``want`` of the ``rows`` keys in Spark's own order."""
+    picked = keyed.select("__run_key").sample(fraction=min(1.0, want / rows), seed=17)
+    return picked.agg(F.sort_array(F.collect_list("__run_key"))).first()[0]
+
+
 def _range_bounds(keyed: DataFrame, ranges: int) -> list[T.Row]:
-    if ranges < 2:
-        return []
     want = ranges * SAMPLE_PER_RANGE
-    sample = keyed.select("__run_key").orderBy(F.rand(17)).limit(want).orderBy("__run_key").collect()
-    if len(sample) < want:  # the table is smaller than the sample: one range holds it
+    rows = keyed.count() if ranges > 1 else 0
+    if rows <= want:  # one range holds it
         return []
-    bounds = []
-    for row in sample[SAMPLE_PER_RANGE::SAMPLE_PER_RANGE]:
-        if not bounds or row[0] != bounds[-1]:
-            bounds.append(row[0])
+    sample = _sorted_sample(keyed, rows, want)
+    step = max(1, len(sample) // ranges)
+    bounds: list[T.Row] = []
+    for row in sample[step::step]:
+        if not bounds or row != bounds[-1]:
+            bounds.append(row)
     return bounds
 
 
 def _range_id(key: Column, bounds: list[T.Row], dtype: T.StructType) -> Column:
-    def literal(row):
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, dtype.fields)])
-
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < literal(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+        return F.when(key < _literal(bounds[mid], dtype), search(lo, mid)).otherwise(search(mid + 1, hi))
 
     return search(0, len(bounds))
 
@@ -69,7 +79,8 @@ def running(
     """
     by, order = list(by), list(order)
     if ranges is None:
-        ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # several ranges per shuffle partition even out their hashing
+        ranges = min(MAX_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("__run_key", F.struct(*_key_columns(df, [*by, *order])))
     bounds = _range_bounds(keyed, ranges)
     addends = {f"__a{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(sums.values())}
@@ -99,3 +110,30 @@ def running(
 def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """1-based position in ascending ``order`` (whose last column is unique), per ``by`` group."""
     return running(df, order, {name: F.lit(1).cast("long")}, by, ranges)
+
+
+def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` first rows in ascending ``order`` (ending in a unique key), whatever the table's size.
+
+    A plain top-n sends n rows from every task to one. On a large table the candidates are first cut down
+    by a key bound that is *counted* to keep at least n rows, so the result is the same.
+    """
+    keyed = df.withColumn("__run_key", F.struct(*_key_columns(df, order)))
+    dtype = keyed.schema["__run_key"].dataType
+    kept, rows = keyed, keyed.count()
+    while rows > max(PLAIN_TOP_ROWS, 4 * n):
+        sample = _sorted_sample(kept, rows, PRUNE_SAMPLE)
+        at, enough = int(1.5 * n / rows * len(sample)) + 8, 0
+        while at < len(sample):
+            cut = kept.where(F.col("__run_key") <= _literal(sample[at], dtype))
+            enough = cut.count()
+            if enough >= n:
+                break
+            at *= 2
+        if enough < n or enough > 0.9 * rows:
+            break
+        kept, rows = cut, enough
+    kept = kept.drop("__run_key")
+    if n <= TOP_N_LIMIT:
+        return kept.orderBy(*order).limit(n)
+    return ranked(kept, order, "__pos").where(F.col("__pos") <= n).drop("__pos")

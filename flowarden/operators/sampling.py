@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowarden.operators.ordered import ranked
-
-TOP_N_LIMIT = 1_000_000  # up to here a bounded top-n keeps the sample; beyond it rows are ranked in ranges
+from flowarden.operators.ordered import ranked, smallest
 
 
 def hash_order(key: str, seed: int | str) -> Column:
@@ -22,10 +20,7 @@ def label_union(attack: DataFrame, normal: DataFrame, name: str = "true_label")
 
 def sample_n(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
     """Exactly min(n, rows) rows without replacement."""
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(hash_order(key, seed), key).limit(n)
-    keyed = df.withColumn("__h", hash_order(key, seed))
-    return ranked(keyed, ["__h", key], "__pos").where(F.col("__pos") <= n).drop("__h", "__pos")
+    return smallest(df.withColumn("__h", hash_order(key, seed)), ["__h", key], n).drop("__h")
 
 
 def sample_per_class(df: DataFrame, n: int, seed: int | str, key: str, label: str = "label") -> DataFrame:
@@ -83,7 +78,8 @@ def stratified_folds(df: DataFrame, k: int, label: str, key: str, seed: int | st
 
 def head_then_sample(df: DataFrame, n: int, seed: int | str, key: str, order: str | None = None) -> DataFrame:
     """The first 2n rows in ``order``, then n of them at random."""
-    return sample_n(df.orderBy(order or key).limit(2 * n), n, seed, key)
+    first = smallest(df, [order, key] if order and order != key else [key], 2 * n)
+    return first.orderBy(hash_order(key, seed), key).limit(n)
 
 
 def unused_rows(everything: DataFrame, used: DataFrame, key: str) -> DataFrame:

@@ -55,3 +55,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small under-split table over all cores before CPU-heavy work.
+
+    A single small file is read by one task. Only a table of fewer files than cores and at most one usual
+    split (128 MB) per core is shuffled; anything larger already has enough tasks and is left alone.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * 128 * 1024 * 1024 else df

@@ -104,11 +104,23 @@ def test_sample_is_the_same_on_any_partitioning(spark):
     assert pick(df.repartition(3)) == pick(df.repartition(11)) and len(pick(df)) == 300
 
 
-def test_large_sample_path(spark, monkeypatch):
+@pytest.mark.parametrize("n", [1, 700, 2999, 5000])
+def test_pruned_sample_path(spark, monkeypatch, n):
     df = spark.range(3000)
-    small = {r[0] for r in sampling.sample_n(df, 700, 9, "id").collect()}
-    monkeypatch.setattr(sampling, "TOP_N_LIMIT", 10)
-    assert {r[0] for r in sampling.sample_n(df, 700, 9, "id").collect()} == small
+    expect = {r[0] for r in sampling.sample_n(df, n, 9, "id").collect()}
+    monkeypatch.setattr(ordered, "PLAIN_TOP_ROWS", 50)
+    monkeypatch.setattr(ordered, "PRUNE_SAMPLE", 400)
+    assert {r[0] for r in sampling.sample_n(df, n, 9, "id").collect()} == expect
+    monkeypatch.setattr(ordered, "TOP_N_LIMIT", 10)
+    assert {r[0] for r in sampling.sample_n(df, n, 9, "id").collect()} == expect and len(expect) == min(n, 3000)
+
+
+def test_smallest_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PLAIN_TOP_ROWS", 50)
+    monkeypatch.setattr(ordered, "PRUNE_SAMPLE", 300)
+    df = spark.range(4000).withColumn("v", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.0))
+    got = [r["id"] for r in ordered.smallest(df, ["v", "id"], 40).orderBy("v", "id").collect()]
+    assert got == [3 * i for i in range(40)]
 
 
 def test_split_without_shuffle_keeps_proportions(spark):
