@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowarden.functions.scalars import severity_order
 from flowarden.operators.ordered import ranked
@@ -39,11 +38,10 @@ def episodes(
     """
     gap = max(gap_seconds * 1_000_000, 1)
     bucket = 16 * gap
-    payload = [c for c in df.columns if c not in (type_col, score)]
-    best = (
-        df.groupBy(F.col(type_col).alias("__type"), _micros(ts).alias("__t"))
-        .agg(F.min(score).alias("__s"), F.min_by(F.struct(*payload), F.struct(score, *tie)).alias("__row"))
-        .select("__type", "__t", "__s", "__row")
+    # plain, never-null keys let the later steps reuse each other's partitioning
+    keyed = df.withColumns({"__type": F.coalesce(F.col(type_col).cast("string"), F.lit("\0")), "__t": _micros(ts)})
+    best = keyed.groupBy("__type", "__t").agg(
+        F.min(score).alias("__s"), F.min_by(F.struct(*df.columns), F.struct(score, *tie)).alias("__row")
     )
 
     def slot(t: Column, width: int) -> Column:
@@ -85,7 +83,7 @@ def episodes(
         F.col("__b").alias("__cb"),
         F.last("__end", True).over(Window.partitionBy("__type").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"),
     )
-    placed = marked.join(carry, (F.col("__type").eqNullSafe(F.col("__ct"))) & (F.col("__b") == F.col("__cb")), "left")
+    placed = marked.join(carry, (F.col("__type") == F.col("__ct")) & (F.col("__b") == F.col("__cb")), "left")
     own, prev = F.coalesce("__own", "__carry"), F.coalesce("__prev", "__carry")
     member = F.struct(own.alias("seg"), F.lit(False).alias("closes"))
     closer = F.struct(prev.alias("seg"), F.lit(True).alias("closes"))
@@ -94,10 +92,7 @@ def episodes(
         F.explode(F.when(F.col("__start").isNotNull() & prev.isNotNull(), F.array(member, closer)).otherwise(F.array(member))).alias("p"),
     ).select("__type", "__t", "__s", F.col("p.seg").alias("__seg"), F.col("p.closes").alias("__closes"))
 
-    key_type = pieces.schema["__type"].dataType
-    keys = T.StructType(
-        [T.StructField("__type", key_type), T.StructField("__t", T.LongType())]
-    )
+    keys = "__type string, __t long"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segment, rep, rep_t, rep_s = None, None, 0, 0.0
@@ -126,9 +121,8 @@ def episodes(
         .mapInPandas(fold, keys)
     )
     kept = kept.select(F.col("__type").alias("__kt"), F.col("__t").alias("__kk"))
-    out = best.join(kept, F.col("__type").eqNullSafe(F.col("__kt")) & (F.col("__t") == F.col("__kk")), "left_semi")
-    fields = {type_col: F.col("__type"), score: F.col("__s")}
-    return out.select(*[(fields[c] if c in fields else F.col("__row")[c]).alias(c) for c in df.columns])
+    out = best.join(kept, (F.col("__type") == F.col("__kt")) & (F.col("__t") == F.col("__kk")), "left_semi")
+    return out.select("__row.*")
 
 
 def bucket_best(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 SAMPLE_PER_RANGE = 32
 MAX_RANGES = 1024
+MAX_OFFSETS = 100_000  # range totals up to here are broadcast
 PLAIN_TOP_ROWS = 1_000_000  # tables up to here go through a plain top-n
 PRUNE_SAMPLE = 20_000
 TOP_N_LIMIT = 1_000_000  # larger n are ranked in ranges
@@ -72,10 +73,11 @@ def running(
     sums: Mapping[str, str | Column],
     by: Sequence[str] = (),
     ranges: int | None = None,
+    totals_as: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums in ascending ``order``, restarted for each ``by`` group.
 
-    ``order`` must end in a unique key. One group may hold most of the rows: it is spread over ranges.
+    ``totals_as`` maps the name of a running sum to a column for its group's total. ``order`` must end in a unique key. One group may hold most of the rows: it is spread over ranges.
     """
     by, order = list(by), list(order)
     if ranges is None:
@@ -83,28 +85,38 @@ def running(
         ranges = min(MAX_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("__run_key", F.struct(*_key_columns(df, [*by, *order])))
     bounds = _range_bounds(keyed, ranges)
+    totals_as = dict(totals_as or {})
     addends = {f"__a{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(sums.values())}
     within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = keyed.withColumns(
         {"__range": _range_id(F.col("__run_key"), bounds, keyed.schema["__run_key"].dataType), **addends}
     ).drop("__run_key")
     if not bounds:
-        out = cut.withColumns({name: F.sum(a).over(within) for name, a in zip(sums, addends)})
-        return out.drop("__range", *addends)
+        whole = Window.partitionBy(*by, "__range")
+        new = {name: F.sum(a).over(within) for name, a in zip(sums, addends)}
+        new |= {totals_as[name]: F.sum(a).over(whole) for name, a in zip(sums, addends) if name in totals_as}
+        return cut.withColumns(new).drop("__range", *addends)
 
     totals = cut.groupBy(*by, "__range").agg(*[F.sum(a).alias(a) for a in addends])
+    # a range is contiguous, so there is one total per range and one more per group: small, and counted here
+    rows = totals.limit(MAX_OFFSETS + 1).collect()
+    bounded = len(rows) <= MAX_OFFSETS
+    if bounded:
+        totals = df.sparkSession.createDataFrame(rows, totals.schema)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)],
         F.col("__range").alias("__r"),
         *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"{a}_off") for a in addends],
+        *[F.sum(a).over(Window.partitionBy(*by)).alias(totals_as[n]) for n, a in zip(sums, addends) if n in totals_as],
     )
     match = F.col("__range") == F.col("__r")
     for i, b in enumerate(by):
         match = match & F.col(b).eqNullSafe(F.col(f"__by{i}"))
-    out = cut.withColumns({f"{a}_in": F.sum(a).over(within) for a in addends}).join(offsets, match)
+    out = cut.withColumns({f"{a}_in": F.sum(a).over(within) for a in addends})
+    out = out.join(F.broadcast(offsets) if bounded else offsets, match)
     out = out.withColumns({name: F.col(f"{a}_in") + F.col(f"{a}_off") for name, a in zip(sums, addends)})
-    return out.select(*df.columns, *sums)
+    return out.select(*df.columns, *sums, *totals_as.values())
 
 
 def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowarden.operators.ordered import ranked, smallest
+from flowarden.operators.ordered import ranked, running, smallest
 
 
 def hash_order(key: str, seed: int | str) -> Column:
@@ -64,8 +64,8 @@ def stratified_split(df: DataFrame, fractions: Sequence[float], label: str, key:
     if not exact:
         unit = F.conv(F.substring(hash_order(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
         return df.withColumn(name, assign(unit, [F.lit(c) for c in cuts]))
-    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__size"))
-    numbered = _rank_in_class(df, label, key, seed).join(sizes, F.col(label).eqNullSafe(F.col("__label")))
+    keyed = df.withColumn("__h", hash_order(key, seed))
+    numbered = running(keyed, ["__h", key], {"__pos": F.lit(1).cast("long")}, [label], totals_as={"__pos": "__size"})
     bounds = [F.round(F.col("__size") * F.lit(c)) for c in cuts]
     return numbered.withColumn(name, assign(F.col("__pos") - 1, bounds)).select(*df.columns, name)
 

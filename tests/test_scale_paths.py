@@ -38,6 +38,21 @@ def test_running_sums_over_many_ranges(skewed):
     assert got == expect
 
 
+def test_group_totals_come_along(skewed):
+    df, rows = skewed
+    for ranges in (1, 16):
+        out = ordered.running(df, ["v", "id"], {"pos": F.lit(1)}, ["g"], ranges, {"pos": "size"})
+        got = {r["g"]: (r["n"], r["size"]) for r in out.groupBy("g").agg(F.count("id").alias("n"), F.max("size").alias("size")).collect()}
+        assert all(n == size for n, size in got.values()) and sum(n for n, _ in got.values()) == len(rows)
+
+
+def test_unbounded_offsets_join_instead_of_broadcast(skewed, monkeypatch):
+    df, rows = skewed
+    expect = {r["id"]: r["rank"] for r in ordered.ranked(df, ["v", "id"], by=["g"], ranges=16).collect()}
+    monkeypatch.setattr(ordered, "MAX_OFFSETS", 2)
+    assert {r["id"]: r["rank"] for r in ordered.ranked(df, ["v", "id"], by=["g"], ranges=16).collect()} == expect
+
+
 def test_ranges_are_really_cut(skewed):
     df, _ = skewed
     plan = ordered.ranked(df, ["v", "id"], ranges=16)._jdf.queryExecution().toString()
