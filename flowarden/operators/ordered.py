@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_RANGE = 32
+ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 1024
 MAX_OFFSETS = 100_000  # range totals up to here are broadcast
 PLAIN_TOP_ROWS = 1_000_000  # tables up to here go through a plain top-n
@@ -43,10 +44,16 @@ def _sorted_sample(keyed: DataFrame, rows: int, want: int) -> list[T.Row]:
     return picked.agg(F.sort_array(F.collect_list("__run_key"))).first()[0]
 
 
-def _range_bounds(keyed: DataFrame, ranges: int) -> list[T.Row]:
+def _range_bounds(keyed: DataFrame, ranges: int | None) -> list[T.Row]:
+    if ranges == 1:
+        return []
+    rows = keyed.count()
+    if ranges is None:
+        # several ranges per shuffle partition even out their hashing
+        most = min(MAX_RANGES, 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ranges = min(most, -(-rows // ROWS_PER_RANGE))
     want = ranges * SAMPLE_PER_RANGE
-    rows = keyed.count() if ranges > 1 else 0
-    if rows <= want:  # one range holds it
+    if ranges <= 1 or rows <= want:  # one range holds it
         return []
     sample = _sorted_sample(keyed, rows, want)
     step = max(1, len(sample) // ranges)
@@ -57,12 +64,28 @@ def _range_bounds(keyed: DataFrame, ranges: int) -> list[T.Row]:
     return bounds
 
 
-def _range_id(key: Column, bounds: list[T.Row], dtype: T.StructType) -> Column:
+def _below(keys: Sequence[Column], bound: Sequence) -> Column:
+    """Whether the leading keys sort before ``bound`` (NULL first), as plain comparisons."""
+    k, v = keys[0], bound[0]
+    less = F.lit(False) if v is None else k.isNull() | (k < F.lit(v))
+    if len(bound) == 1:
+        return less
+    return less | (k.eqNullSafe(F.lit(v)) & _below(keys[1:], bound[1:]))
+
+
+def _range_id(keys: Sequence[Column], bounds: list[T.Row]) -> Column:
+    """Position among the bounds by binary search; a bound is compared on no more keys than tell it from its predecessor."""
+    short, last = [], None
+    for row in bounds:
+        same = 0 if last is None else next(i for i, (x, y) in enumerate(zip(row, last)) if x != y)
+        short.append(tuple(row)[: same + 1])
+        last = row
+
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < _literal(bounds[mid], dtype), search(lo, mid)).otherwise(search(mid + 1, hi))
+        return F.when(_below(keys, short[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
     return search(0, len(bounds))
 
@@ -80,17 +103,12 @@ def running(
     ``totals_as`` maps the name of a running sum to a column for its group's total. ``order`` must end in a unique key. One group may hold most of the rows: it is spread over ranges.
     """
     by, order = list(by), list(order)
-    if ranges is None:
-        # several ranges per shuffle partition even out their hashing
-        ranges = min(MAX_RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("__run_key", F.struct(*_key_columns(df, [*by, *order])))
     bounds = _range_bounds(keyed, ranges)
     totals_as = dict(totals_as or {})
     addends = {f"__a{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(sums.values())}
     within = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = keyed.withColumns(
-        {"__range": _range_id(F.col("__run_key"), bounds, keyed.schema["__run_key"].dataType), **addends}
-    ).drop("__run_key")
+    cut = df.withColumns({"__range": _range_id(_key_columns(df, [*by, *order]), bounds), **addends})
     if not bounds:
         whole = Window.partitionBy(*by, "__range")
         new = {name: F.sum(a).over(within) for name, a in zip(sums, addends)}

@@ -38,6 +38,16 @@ def test_running_sums_over_many_ranges(skewed):
     assert got == expect
 
 
+def test_range_count_follows_the_row_count(skewed, monkeypatch):
+    df, _ = skewed
+    plain = ordered.ranked(df, ["v", "id"])
+    assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 500)
+    cut = ordered.ranked(df, ["v", "id"])
+    assert "Broadcast" in cut._jdf.queryExecution().executedPlan().toString()
+    assert plain.exceptAll(cut).count() == 0
+
+
 def test_group_totals_come_along(skewed):
     df, rows = skewed
     for ranges in (1, 16):
