@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import simhash
+from flowarden.llm import curriculum, language, packing, simhash
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,3 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def _(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op5_language_id")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.learn(docs.where(~F.col("held_out")))
+    named = docs.select("doc_id", "held_out", language.identify("text", model).alias("p"))
+    return named.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op7_packing")
+def _(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+# Water filling in closed form: sources in order of cap per weight are full as long as the share of the rest exceeds it.
+MIX_SQL = r"""
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM w GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS rank FROM s),
+g AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM r),
+c AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS level,
+    (SELECT CAST(sum(source_size) AS BIGINT) FROM g) AS total FROM g),
+f AS (SELECT *, coalesce(CAST(sum(3 * source_size) OVER b AS BIGINT), 0) AS capped,
+    CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weights FROM c
+    WINDOW b AS (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min(CAST(total - capped AS DOUBLE) / weights) FILTER (CAST(total - capped AS DOUBLE) / weights <= level) AS share FROM f),
+t AS (SELECT source, rank, source_size, CASE WHEN weight * share > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * share END AS target FROM g, l),
+d AS (SELECT w.doc_id, w.size, t.source_size, t.target,
+    CAST(sum(w.size) OVER (PARTITION BY w.source ORDER BY substr(h, 1, 8), w.doc_id, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - w.size AS begins
+    FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(CASE WHEN size = 0 THEN 0 ELSE least(3, floor(target / source_size) + CASE WHEN begins + size / CAST(2 AS DOUBLE) <= target - floor(target / source_size) * source_size THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
+FROM d"""
+
+
+@query("op9_curriculum_mix", MIX_SQL)
+def _(spark, d):
+    planned = curriculum.plan(table(spark, d, "documents"), ["doc_id"])
+    return planned.select(F.col("__0").alias("doc_id"), "size", "source_size", "target", "taken")
