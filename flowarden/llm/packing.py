@@ -5,7 +5,7 @@
 2. The histogram of piece lengths, in classes of ``GRAIN`` tokens, is all the driver needs: at most
    capacity / ``GRAIN`` counts, whatever the table holds.
 3. The linear program over patterns (how many pieces of each class fill a sequence) is solved by the revised simplex
-   method; new patterns are priced by a knapsack dynamic program over the current prices. Pattern counts are rounded
+   method from a greedy basis; new patterns are priced by a knapsack dynamic program over the current prices. Pattern counts are rounded
    down and what that leaves over, at most one sequence's worth of each pattern, is packed first-fit decreasing.
 4. Pieces are ranked within their class (spread over hashed slices whose totals are summed, so a class with most of
    the pieces is not one task's work) and a rank determines pattern, sequence and place by a binary search.
@@ -29,7 +29,8 @@ END_ID = 1
 SLICE_ROWS = 500_000
 LEAST_SLICES = 64
 CACHED_WORDS = 400_000
-GAP = 0.0005  # the linear program stops within this share of its bound
+GAP = 1e-5  # the linear program stops within this share of its bound
+ROUNDS = 400
 BATCH_CHARS = 2_000_000
 
 
@@ -162,23 +163,48 @@ def _best_pattern(size: np.ndarray, price: np.ndarray, room: int) -> tuple[float
     return best[room], pattern
 
 
-def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[int, np.ndarray]]:
+def _first_basis(size: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """One pattern per class: the largest class that has pieces left and the fullest rest, until a class is used up.
+
+    A pattern holds no class used up before it, so the columns form a triangular, hence regular, basis.
+    """
+    n = len(size)
+    left, live = need.astype(float), np.ones(n, bool)
+    basis, amount = np.zeros((n, n)), np.zeros(n)
+    for _ in range(n):
+        open_ = np.flatnonzero(live)
+        pattern = np.zeros(n, np.int64)
+        pattern[open_[-1]] = 1
+        rest = room - size[open_[-1]]
+        fits = open_[size[open_] <= rest]
+        if len(fits):  # fullness first, larger pieces at equal fullness
+            pattern[fits] += _best_pattern(size[fits], size[fits] / room * (1 + 1e-3 * size[fits] / room), rest)[1]
+        used = np.flatnonzero(pattern)
+        times = left[used] / pattern[used]
+        out = used[int(np.argmin(times))]
+        basis[:, out], amount[out] = pattern, times.min()
+        left = np.maximum(left - times.min() * pattern, 0.0)
+        left[out], live[out] = 0.0, False
+    return basis, amount
+
+
+def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = GAP, rounds: int = ROUNDS) -> list[tuple[int, np.ndarray]]:
     """``(times, pieces of each class)``: whole patterns that use every class exactly ``need`` times.
 
-    ``size`` ascends and no class is larger than ``room``.
+    ``size`` ascends, no class is larger than ``room`` and every class is needed. Columns are generated until the
+    program is within ``gap`` of its bound, no pattern is worth its price, or ``rounds`` are over.
     """
     n = len(size)
     if not n:
         return []
-    fill = room // size
-    basis = np.diag(fill).astype(float)  # columns are patterns
-    inverse = np.diag(1.0 / fill)
-    amount = need / fill
+    basis, amount = _first_basis(size, need, room)
+    inverse = np.linalg.inv(basis)
+    bound = float(need @ size) / room
     for turn in range(rounds):
         price = np.maximum(inverse.sum(0), 0.0)
         value, column = _best_pattern(size, price, room)
-        # prices scaled by the best pattern's value bound the optimum from below
-        if value <= 1 + 1e-9 or amount.sum() - price @ need / value <= gap * amount.sum():
+        bound = max(bound, float(price @ need) / max(value, 1.0))  # prices scaled by the dearest pattern are feasible
+        if value <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
             break
         step = inverse @ column
         can = step > 1e-9
@@ -191,10 +217,9 @@ def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = G
         inverse[out] /= step[out]
         others = np.arange(n) != out
         inverse[others] -= np.outer(step[others], inverse[out])
-        amount = np.maximum(inverse @ need, 0.0)
-        if turn % 200 == 199:  # against drift
+        if turn % 100 == 99:  # against drift
             inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ need, 0.0)
+        amount = np.maximum(inverse @ need, 0.0)
     chosen: list[tuple[int, np.ndarray]] = []
     left = need.astype(np.int64).copy()
     for k in np.argsort(-amount, kind="stable"):

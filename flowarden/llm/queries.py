@@ -53,9 +53,9 @@ g AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight F
 c AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS level,
     (SELECT CAST(sum(source_size) AS BIGINT) FROM g) AS total FROM g),
 f AS (SELECT *, coalesce(CAST(sum(3 * source_size) OVER b AS BIGINT), 0) AS capped,
-    CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weights FROM c
+    CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weights, row_number() OVER (ORDER BY level, rank) AS nth FROM c
     WINDOW b AS (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(CAST(total - capped AS DOUBLE) / weights) FILTER (CAST(total - capped AS DOUBLE) / weights <= level) AS share FROM f),
+l AS (SELECT arg_min(CAST(total - capped AS DOUBLE) / weights, nth) FILTER (CAST(total - capped AS DOUBLE) / weights <= level) AS share FROM f),
 t AS (SELECT source, rank, source_size, CASE WHEN weight * share > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * share END AS target FROM g, l),
 d AS (SELECT w.doc_id, w.size, t.source_size, t.target,
     CAST(sum(w.size) OVER (PARTITION BY w.source ORDER BY substr(h, 1, 8), w.doc_id, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - w.size AS begins
