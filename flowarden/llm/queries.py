@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import curriculum, language, packing, simhash
+from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -69,3 +69,42 @@ FROM d"""
 def _(spark, d):
     planned = curriculum.plan(table(spark, d, "documents"), ["doc_id"])
     return planned.select(F.col("__0").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+QUALITY_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+w AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM t WHERE len(words) >= 8)),
+a AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM a, (SELECT unnest(range(8)) AS k) GROUP BY r),
+f AS (SELECT t.r, doc_id, text, words, lines, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM t LEFT JOIN c ON c.r = t.r),
+o AS (SELECT r, max(n) AS most FROM (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM t) GROUP BY r, w) GROUP BY r),
+b AS (SELECT f.*, most, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f LEFT JOIN o ON o.r = f.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(word_chars, 0) BETWEEN 2 * n_words AND 20 * n_words AND 2 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * len(lines)
+    AND 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) >= 6 * n_words
+    AND 10 * len(list_filter(words, lambda x: length(x) > 1 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '[\p{Ll}\p{Lt}]'))) <= 6 * n_words
+    AND 10 * most <= 3 * n_words
+    AND 10 * len(list_filter(lines, lambda x: regexp_matches(rtrim(x), '(\.\.\.|…)$'))) <= 3 * len(lines)
+    AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09\x0b\x0c\x0d]*[-*•‣·]'))) <= 9 * len(lines) AS kept
+FROM b"""
+
+
+@query("op6_quality_cascade", QUALITY_SQL)
+def _(spark, d):
+    return cascade.quality(table(spark, d, "documents")).drop("rejected_by")
+
+
+@query("op3_multi_index_search")
+def _(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return multiindex.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_pii_pseudonyms")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, found_as="replaced").withColumn("n_replaced", F.size("replaced"))
