@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash
+from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash, urlfilter
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -108,3 +108,21 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, found_as="replaced").withColumn("n_replaced", F.size("replaced"))
+
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END, '') AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS t(rh, rp, v)),
+b AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v
+    FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN b ON b.page_id = h.page_id"""
+
+
+@query("op10_url_bloom_cascade", URL_SQL)
+def _(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.listed_domains(pages)).select("page_id", "host", "path", "rule", "verdict")
