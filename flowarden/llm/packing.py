@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,82 +29,78 @@ GRAIN = 4
 END_ID = 1
 SLICE_ROWS = 500_000
 LEAST_SLICES = 64
-CACHED_WORDS = 400_000
 GAP = 1e-5  # the linear program stops within this share of its bound
 ROUNDS = 400
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000  # of texts whose pieces leave a task together
 
 
 # ---- tokenizing ----------------------------------------------------------------------------------------
+def _same_as_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary as byte strings, if the file is plain byte-level BPE whose merges are in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = model["type"] == "BPE" and not spec.get("normalizer") and not spec.get("post_processor")
+    if not (usual and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"]["".join(p)] for p in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    hidden = [i for i in range(256) if i not in visible]
+    byte = {chr(i): i for i in visible} | {chr(256 + k): i for k, i in enumerate(hidden)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
+
 class Encoder:
-    """Byte-level BPE ids of whole texts, with a cache of words.
+    """Ids of whole texts by a tokenizer file.
 
-    The tokenizer never merges across a single space or line end between two other characters, so such texts are
-    encoded word by word from the cache. Texts with other white space or with characters whose class may differ
-    between library versions are encoded directly; so are special tokens, as the tokenizer has them.
+    Texts of Latin letters, whose character classes no library disputes, are merged by a faster implementation of the
+    same vocabulary where the file allows it; all others, and texts that may name a special token, by the tokenizer.
     """
 
     def __init__(self, path: str):
+        import json
         import re
 
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.plain = re.compile(r"[!-~\xa1-\xac\xae-ɏ]+(?:[ \n][!-~\xa1-\xac\xae-ɏ]+)*").fullmatch
-        self.line_end = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        new = list(words.difference(cache))
-        if not new:
-            return cache
-        found = dict(zip(new, self._encode([lead + w for w in new])))
-        if len(cache) < CACHED_WORDS:
-            cache.update(found)
-            return cache
-        found.update((w, cache[w]) for w in words if w in cache)
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; a null text is empty."""
-        out: list[bytes] = [b""] * len(texts)
-        split, direct = {}, []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "<|" not in text and self.plain(text):
-                split[i] = [line.split(" ") for line in text.split("\n")]
-            else:
-                direct.append(i)
-        for i, ids in zip(direct, self._encode([texts[i] for i in direct])):
-            out[i] = ids
-        heads, tails = set(), set()
-        for lines in split.values():
-            for words in lines:
-                heads.add(words[0])
-                tails.update(words[1:])
-        first, later = self._learn(self.first, heads, ""), self._learn(self.later, tails, " ")
-        for i, lines in split.items():
-            out[i] = self.line_end.join(first[words[0]] + b"".join(map(later.__getitem__, words[1:])) for words in lines)
-        return out
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as file:
+            ranks = _same_as_ranks(json.load(file))
+        if ranks:
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain = re.compile(r"[\t\n\r -~\xa1-\xac\xae-ɏ]*").fullmatch
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids; a null text is empty."""
+        if not text:
+            return b""
+        if self.fast and "<|" not in text and self.plain(text):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process: it is loaded once."""
+    return Encoder(path)
 
 
 def _pieces(tokenizer: str | None, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+        encode = encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json")).encode
         end = np.array([END_ID], "<u4").tobytes()
 
         def made(rows):
-            ids, texts = zip(*rows)
             cols = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, data in zip(ids, encoder.encode(list(texts))):
-                data += end
+            for doc_id, text in rows:
+                data = encode(text) + end
                 total = len(data) // 4
                 for start in range(0, total, capacity):
                     part = data[4 * start : 4 * (start + capacity)]

@@ -20,18 +20,27 @@ def ids(text):
     return REAL.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("aB'st 9.,\n\t é²\xa0\xad́日<|endoftext>")), max_size=40))
-def test_word_cache_equals_tokenizer(text):
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids(text)
-
-
-def test_full_cache_equals_tokenizer(monkeypatch):
-    monkeypatch.setattr(P, "CACHED_WORDS", 2)
-    own = P.Encoder(PATH)
-    texts = ["one two three one", "two five\nsix, seven's two", None, "<|endoftext|> it's"]
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [ids(t) for t in texts]
+def of(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from(list("aB'st 9.,\n\t\r é²\xa0\xad́日ĸ<|endoftext>")), max_size=40))
+def test_ids_are_the_tokenizers(text):
+    assert of(ENCODER.encode(text)) == ids(text)
+
+
+def test_whole_documents_and_special_tokens(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist() + [None, "", "a <|endoftext|> b", "x" * 40_000, "it's we'll \u2003 odd"]
+    assert ENCODER.fast and all(of(ENCODER.encode(t)) == ids(t) for t in texts)
+
+
+def test_other_tokenizers_are_used_as_they_are():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = P.Encoder(path)
+    assert other.fast is None and of(other.encode("One two")) == Tokenizer.from_file(path).encode("One two", add_special_tokens=False).ids
 
 
 def check(rows, docs):
