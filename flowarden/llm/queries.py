@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash, urlfilter
+from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash, urlfilter, wrappers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -126,3 +126,8 @@ FROM h LEFT JOIN b ON b.page_id = h.page_id"""
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.listed_domains(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_html_wrappers")
+def _(spark, d):
+    return wrappers.main_texts(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
