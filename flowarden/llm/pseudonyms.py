@@ -42,6 +42,11 @@ ANY = "|".join(PATTERNS.values())
 MAY_HOLD = r"[0-9@]|" + SECRET_NAME  # a text without these holds nothing
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # ---- keyed permutations --------------------------------------------------------------------------------
 def _hash(key: str, tag: Column, *parts: Column) -> Column:
     """60 keyed bits as a long."""
@@ -72,8 +77,12 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     b = F.length(digits) - a
     left = F.when(a > 0, F.substring(digits, F.lit(1), a).try_cast("long")).otherwise(F.lit(0).cast("long"))
     right = F.substring(digits, a + 1, b).try_cast("long")
-    s = feistel(left, right, _power10(a), _power10(b), key, F.concat(F.lit(kind), F.length(digits).cast("string")))
-    return F.concat(F.when(a > 0, F.lpad(s["l"].cast("string"), a, "0")).otherwise(F.lit("")), F.lpad(s["r"].cast("string"), b, "0"))
+    tag = F.concat(F.lit(kind), F.length(digits).cast("string"))
+
+    def written(s: Column) -> Column:
+        return F.concat(F.when(a > 0, F.lpad(s["l"].cast("string"), a, "0")).otherwise(F.lit("")), F.lpad(s["r"].cast("string"), b, "0"))
+
+    return _let(feistel(left, right, _power10(a), _power10(b), key, tag), written)
 
 
 def permute_day(day: Column, key: str) -> Column:
@@ -81,10 +90,11 @@ def permute_day(day: Column, key: str) -> Column:
     side = F.lit(DAY_SIDE).cast("long")
 
     def step(x: Column) -> Column:
-        s = feistel(F.floor(x / DAY_SIDE), x % DAY_SIDE, side, side, key, F.lit("date"))
-        return s["l"] * DAY_SIDE + s["r"]
+        return _let(feistel(F.floor(x / DAY_SIDE), x % DAY_SIDE, side, side, key, F.lit("date")), lambda s: s["l"] * DAY_SIDE + s["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DAY_WALKS)), step(day.cast("long")), lambda x, _: F.when(x < DAYS, x).otherwise(step(x)))
+    # the first step is always taken, the others only from outside
+    walk = F.aggregate(F.sequence(F.lit(0), F.lit(DAY_WALKS)), day.cast("long"), lambda x, i: F.when((i > 0) & (x < DAYS), x).otherwise(step(x)))
+    return walk
 
 
 # ---- formats -------------------------------------------------------------------------------------------
@@ -117,10 +127,12 @@ def _luhn(digits: Column, shift: int) -> Column:
 
 
 def _card(match: Column, key: str) -> Column:
-    digits = _digits(match)
-    payload = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    checked = F.concat(payload, F.pmod(-_luhn(payload, 1), F.lit(10)).cast("string"))
-    return F.when(_luhn(digits, 0) % 10 == 0, _refill(match, checked)).otherwise(match)
+    def made(digits: Column) -> Column:
+        payload = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        checked = _let(payload, lambda p: F.concat(p, F.pmod(-_luhn(p, 1), F.lit(10)).cast("string")))
+        return F.when(_luhn(digits, 0) % 10 == 0, _let(checked, lambda c: _refill(match, c))).otherwise(match)
+
+    return _let(_digits(match), made)
 
 
 def _mod97(account: Column) -> Column:
@@ -136,17 +148,18 @@ def _iban(match: Column, key: str) -> Column:
     plain = F.replace(match, F.lit(" "), F.lit(""))
     country, bban = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     digits = _digits(bban)
-    own = F.when(F.length(digits) > 0, _refill(bban, permute_digits(digits, key, "iban"))).otherwise(bban)
-    check = F.lpad((98 - _mod97(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0")
-    made = F.concat(country, check, own)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+    own = F.when(F.length(digits) > 0, _let(permute_digits(digits, key, "iban"), lambda d: _refill(bban, d))).otherwise(bban)
+    checked = _let(own, lambda o: F.concat(country, F.lpad((98 - _mod97(F.concat(o, country, F.lit("00")))).cast("string"), 2, "0"), o))
 
-    def put(s: Column, c: Column) -> Column:
-        gap = c == " "
-        return F.struct(F.concat(s["out"], F.when(gap, c).otherwise(F.substring(made, s["k"], F.lit(1)))).alias("out"), (s["k"] + (~gap).cast("int")).alias("k"))
+    def spaced(made: Column) -> Column:
+        def put(s: Column, c: Column) -> Column:
+            gap = c == " "
+            return F.struct(F.concat(s["out"], F.when(gap, c).otherwise(F.substring(made, s["k"], F.lit(1)))).alias("out"), (s["k"] + (~gap).cast("int")).alias("k"))
+
+        return F.aggregate(F.split(match, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put)["out"]
 
     valid = F.length(plain).between(15, 34) & (_mod97(F.concat(bban, F.substring(plain, 1, 4))) == 1)
-    return F.when(valid, F.aggregate(F.split(match, ""), start, put)["out"]).otherwise(match)
+    return F.when(valid, _let(checked, spaced)).otherwise(match)
 
 
 def _ip(match: Column, key: str) -> Column:
@@ -155,9 +168,12 @@ def _ip(match: Column, key: str) -> Column:
     for p in part[1:]:
         valid = valid & (p < 256)
     side = F.lit(65536).cast("long")
-    s = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], side, side, key, F.lit("ip"))
-    made = F.concat_ws(".", *[x.cast("long").cast("string") for x in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)])
-    return F.when(valid, made).otherwise(match)
+
+    def written(s: Column) -> Column:
+        return F.concat_ws(".", *[x.cast("long").cast("string") for x in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256)])
+
+    made = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], side, side, key, F.lit("ip"))
+    return F.when(valid, _let(made, written)).otherwise(match)
 
 
 def _ssn(match: Column, key: str) -> Column:
@@ -167,14 +183,14 @@ def _ssn(match: Column, key: str) -> Column:
 
     # walk on until the permuted number is valid again: about one step in ten is not
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), permute_digits(_digits(match), key, "ssn"), lambda x, _: F.when(valid(x), x).otherwise(permute_digits(x, key, "ssn")))
-    return F.when(valid(_digits(match)), _refill(match, walked)).otherwise(match)
+    return F.when(valid(_digits(match)), _let(walked, lambda d: _refill(match, d))).otherwise(match)
 
 
 def _phone(match: Column, key: str) -> Column:
     """The country code after a plus sign stays, all further digits are permuted."""
     code = F.regexp_extract(match, r"^(\+\d{1,3})", 1)
     rest = F.substring(match, F.length(code) + 1, F.length(match))
-    return F.when(F.length(_digits(match)).between(8, 15), F.concat(code, _refill(rest, permute_digits(_digits(rest), key, "phone")))).otherwise(match)
+    return F.when(F.length(_digits(match)).between(8, 15), F.concat(code, _let(permute_digits(_digits(rest), key, "phone"), lambda d: _refill(rest, d)))).otherwise(match)
 
 
 def _date(match: Column, key: str) -> Column:
@@ -187,12 +203,16 @@ def _date(match: Column, key: str) -> Column:
 
     day_first, month_first = day(part[2], part[1], part[0]), day(part[2], part[0], part[1])
     value = F.when(iso, day(*part)).otherwise(F.coalesce(day_first, month_first))
-    number = F.datediff(value, F.lit(FIRST_DAY).cast("date"))
-    made = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_day(number, key).cast("int"))
+    first = F.lit(FIRST_DAY).cast("date")
+    number = F.datediff(value, first)
     padded = F.regexp_extract(match, r"^(\d+)", 1).rlike("^(..|0.)$") | F.regexp_extract(match, r"^\d+\D(\d+)", 1).rlike("^(..|0.)$")
-    d, m, y = [F.when(padded, F.date_format(made, p + p)).otherwise(F.date_format(made, p)) for p in ("d", "M")] + [F.date_format(made, "yyyy")]
-    written = F.when(iso, F.date_format(made, "yyyy-MM-dd")).when(day_first.isNotNull(), F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
-    return F.when(number.between(0, DAYS - 1), F.when(sep == ".", F.replace(written, F.lit("/"), F.lit("."))).otherwise(written)).otherwise(match)
+
+    def written(made: Column) -> Column:
+        d, m, y = [F.when(padded, F.date_format(made, p + p)).otherwise(F.date_format(made, p)) for p in ("d", "M")] + [F.date_format(made, "yyyy")]
+        slashed = F.when(day_first.isNotNull(), F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+        return F.when(iso, F.date_format(made, "yyyy-MM-dd")).otherwise(F.replace(slashed, F.lit("/"), sep))
+
+    return F.when(number.between(0, DAYS - 1), _let(F.date_add(first, permute_day(number, key).cast("int")), written)).otherwise(match)
 
 
 def _email(match: Column, key: str) -> Column:

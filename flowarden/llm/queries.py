@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, multiindex, packing, pseudonyms, simhash, urlfilter, wrappers
+from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pseudonyms, simhash, urlfilter, wrappers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -131,3 +131,11 @@ def _(spark, d):
 @query("op2_html_wrappers")
 def _(spark, d):
     return wrappers.main_texts(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_licence_scan")
+def _(spark, d):
+    # a document is a file of its source, a thousand ids to a directory
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
+    return licences.scan(files).select("doc_id", "path", "licence", "cosine", "licence_from")
