@@ -516,7 +516,7 @@ def _(s, d):
     return A.detection_summary(view(s, d, "scored_flows"), "pred")
 
 
-@exact("a8_timeline_bins", oracle(["scored_flows"], "n AS (SELECT pred, row_number() OVER (ORDER BY flow_id) - 1 AS i, greatest(1, count(*) OVER () // 12) AS sz FROM scored_flows), b AS (SELECT CAST(i // sz + 1 AS INT) AS bin, count(*) AS t, CAST(sum(pred) AS BIGINT) AS a FROM n GROUP BY 1) SELECT bin, t - a AS normal, a AS attacks, round(CAST(a AS DOUBLE) / t * 100, 2) AS detection_rate FROM b WHERE bin <= 12"))
+@exact("a8_timeline_bins", oracle(["scored_flows"], "n AS (SELECT pred, row_number() OVER (ORDER BY flow_id) - 1 AS i, greatest(1, count(*) OVER () // 12) AS sz FROM scored_flows), b AS (SELECT CAST(least(i // sz + 1, 12) AS INT) AS bin, count(*) AS t, CAST(sum(pred) AS BIGINT) AS a FROM n GROUP BY 1) SELECT bin, t - a AS normal, a AS attacks, round(CAST(a AS DOUBLE) / t * 100, 2) AS detection_rate FROM b"))
 def _(s, d):
     return A.timeline_bins(view(s, d, "scored_flows"), ["flow_id"], "pred")
 

@@ -68,9 +68,9 @@ def clean_inf(c: str | Column, fill: float | None = 0.0, clip: bool = False) ->
 
 
 def binary_label(c: str | Column, rule: str = "not_normal") -> Column:
-    """1 for attack rows. ``not_normal``: anything but "normal"; ``attack_words``: one of the attack words."""
+    """1 for attack rows. ``not_normal``: anything but "normal", null included; ``attack_words``: one of the attack words."""
     text = F.lower(F.trim(_as_col(c).cast("string")))
-    hit = text != "normal" if rule == "not_normal" else text.isin(ATTACK_WORDS)
+    hit = ~text.eqNullSafe("normal") if rule == "not_normal" else text.isin(ATTACK_WORDS)
     return F.when(hit, 1).otherwise(0)
 
 

@@ -12,8 +12,8 @@ from flowarden.functions.scalars import col
 from flowarden.models.hybrid import HybridDetector, Preprocessor
 from flowarden.models.iforest import IsolationForest
 from flowarden.models.supervised import fit_adaboost, fit_boosted_trees, fit_random_forest
-from flowarden.operators.evaluate import binary_metrics, contamination, cv_summary, evaluation_row, percentile_threshold
-from flowarden.operators.sampling import stratified_folds
+from flowarden.operators.evaluate import confusion, contamination, cv_summary, evaluation_row, metrics_from_counts, percentile_threshold
+from flowarden.operators.sampling import sample_per_class, stratified_folds
 from flowarden.session import materialise
 
 ISOLATION, ADABOOST, BOOSTED, FOREST, HYBRID = "Isolation Forest", "AdaBoost", "Boosted Trees", "Random Forest", "Hybrid"
@@ -62,16 +62,22 @@ def compare_models(
 
 def cross_validate(
     df: DataFrame, features: Sequence[str], k: int = 5, label: str = "y", key: str = "flow_id",
-    forest_trees: int = 100, trees: int = 100, seed: int = 42, augment_scaled: bool = False,
+    forest_trees: int = 100, trees: int = 100, seed: int = 42, augment_scaled: bool = False, fit_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics per fold, mean and deviation of F1); preprocessing is refitted on each fold's training part."""
+    """(metrics and confusion cells per fold, mean and deviation of F1); everything is refitted on each fold's training part.
+
+    ``fit_rows`` bounds the rows of each class that a fold is fitted on; every row is held out once and scored.
+    """
     folded = materialise(stratified_folds(df.select(*[col(c) for c in dict.fromkeys([*features, label, key])]), k, label, key, seed), "folds")
     rows = []
     for i in range(k):
+        training = folded.where(F.col("fold") != i)
+        if fit_rows:
+            training = materialise(sample_per_class(training, fit_rows, seed, key, label), "fold")
         model = HybridDetector.fit(
-            folded.where(F.col("fold") != i), features, label, key, forest_trees, trees, seed=seed, augment_scaled=augment_scaled
+            training, features, label, key, forest_trees, trees, seed=seed, augment_scaled=augment_scaled
         )
         held = model.transform(folded.where(F.col("fold") == i))
-        rows.append(binary_metrics(held, label).withColumn("fold", F.lit(i)))
+        rows.append(metrics_from_counts(confusion(held, label)).withColumn("fold", F.lit(i)))
     folds = materialise(reduce(DataFrame.unionByName, rows), "fold_metrics")
     return folds, cv_summary(folds)

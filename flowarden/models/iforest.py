@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import col
-from flowarden.operators.ordered import smallest
-from flowarden.operators.sampling import hash_order
+from flowarden.operators.sampling import first_by_hash, hash_order
 from flowarden.session import spread
 
 EULER_GAMMA = 0.5772156649015329
@@ -52,7 +51,7 @@ def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple
 
 @dataclass
 class IsolationForest:
-    """``fit`` reads one bounded sample: trees × psi rows, chosen by ``md5(key‖seed)``."""
+    """``fit`` reads one bounded sample: trees × psi rows, chosen by ``md5(key‖seed)``; every tree draws psi of them."""
 
     trees: int = 100
     psi: int = 256
@@ -62,14 +61,13 @@ class IsolationForest:
         spark = df.sparkSession
         want = self.trees * self.psi
         narrow = df.select(col(key), hash_order(key, self.seed).alias("__h"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-        chosen = smallest(narrow, ["__h", key], want).select(*[f"x{i}" for i in range(len(cols))])
+        chosen = first_by_hash(narrow, want, "__h", key).select(*[f"x{i}" for i in range(len(cols))])
         x = np.nan_to_num(chosen.toArrow().to_pandas().to_numpy(dtype=float))
         if not len(x):
             raise ValueError("no rows to fit")
-        trees, seed = self.trees, self.seed
+        seed = self.seed
         psi = min(self.psi, len(x))
         limit = max(1, math.ceil(math.log2(psi))) if psi > 1 else 1
-        dealt = len(x) == want  # enough rows to give every tree its own
         shared = spark.sparkContext.broadcast(x)
 
         def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +75,7 @@ class IsolationForest:
             for pdf in batches:
                 for t in pdf["id"]:
                     rng = np.random.default_rng([seed, int(t)])
-                    own = rows[int(t) :: trees] if dealt else rows[rng.permutation(len(rows))[:psi]]
+                    own = rows[rng.permutation(len(rows))[:psi]]
                     table = pd.DataFrame(
                         grow_tree(own, limit, rng), columns=["node_id", "feature", "threshold", "left", "right", "n", "depth"]
                     )

@@ -17,6 +17,7 @@ from flowarden.session import materialise
 
 VECTOR = "__features"
 BINS = 256  # candidate thresholds per feature
+CARRIED_ROUNDS = 10
 
 
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,7 +41,8 @@ def _training_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
     return assemble(df, cols).select(VECTOR, F.col(label).cast("double").alias("__y"))
 
 
-def fit_random_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 12, seed: int = 42) -> TreeEnsemble:
+def fit_random_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 30, seed: int = 42) -> TreeEnsemble:
+    """``depth`` 30 is the most the ML library grows."""
     est = RandomForestClassifier(featuresCol=VECTOR, labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024)
     return TreeEnsemble(est.fit(_training_table(df, cols, label)), list(cols))
 
@@ -73,16 +75,19 @@ class AdaBoostModel:
 def fit_adaboost(df: DataFrame, cols: Sequence[str], label: str, rounds: int = 50, rate: float = 1.0, seed: int = 42) -> AdaBoostModel:
     """SAMME on depth-one trees (Zhu et al. 2009).
 
-    A row's weight is a function of its features and label through the stumps so far, so it is an
-    expression over the one stored training table: no weight column is carried from round to round.
+    A row's weight is a function of its features and label through the stumps so far: an expression over the
+    stored training table. Every ``CARRIED_ROUNDS`` rounds it is stored as a column, so the expression stays short.
     """
     plain = [f"x{i}" for i in range(len(cols))]
     table = df.select(*[col(c).cast("double").alias(p) for c, p in zip(cols, plain)], F.col(label).cast("double").alias("__y"))
     table = materialise(table, "boost")
-    vectors = assemble(table, plain)
+    vectors = assemble(table, plain).withColumn("__stored", F.lit(1.0))
     model = AdaBoostModel(list(cols), [])
-    weight = F.lit(1.0)
+    weight = F.col("__stored")
     for r in range(rounds):
+        if r and r % CARRIED_ROUNDS == 0:
+            vectors = materialise(vectors.withColumn("__stored", weight), "boost")
+            weight = F.col("__stored")
         weighted = vectors.withColumn("__w", weight)
         tree = DecisionTreeClassifier(featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxDepth=1, maxBins=BINS, seed=seed + r).fit(weighted)
         root = tree._java_obj.rootNode()

@@ -162,8 +162,8 @@ def detection_summary(df: DataFrame, flag: str = "is_anomaly", prob: str = "prob
     )
 
 
-def timeline_bins(df: DataFrame, order: Sequence[str], flag: str = "is_anomaly", bins: int = 12, include_tail: bool = False) -> DataFrame:
-    """Consecutive equal runs of rows in ``order``; rows past the last full run drop unless ``include_tail``."""
+def timeline_bins(df: DataFrame, order: Sequence[str], flag: str = "is_anomaly", bins: int = 12, include_tail: bool = True) -> DataFrame:
+    """Consecutive equal runs of rows in ``order``; the last run also takes the remainder unless ``include_tail`` is off."""
     total = df.count()
     size = max(1, total // bins)
     numbered = ranked(df.select(*order, flag), order, "__pos")

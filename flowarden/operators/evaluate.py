@@ -193,7 +193,7 @@ def threshold_sweep(df: DataFrame, score: str = "if_score", label: str = "y", co
     """Precision, recall and F1 when the given shares of lowest scores are flagged."""
     n, stats = order_statistics(df, {score: lambda n: [int(n * c) for c in contaminations]})[score]
     if n == 0:
-        raise ValueError("no scores to sweep")
+        return df.sparkSession.createDataFrame([], "contamination double, threshold double, precision double, recall double, f1 double")
     counts = threshold_grid(df, {c: stats[int(n * c)] for c in contaminations}, score, label, below=True)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p, r = tp / (tp + fp + F.lit(GUARD)), tp / (tp + fn + F.lit(GUARD))
@@ -247,11 +247,13 @@ def score_stats(df: DataFrame, score: str = "if_score", label: str = "y", flagge
 
 
 def histogram(df: DataFrame, value: str, label: str = "y", edges: int = 60, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """Counts and densities per class over equal bins from ``lo`` to ``hi`` (default: the range of the values)."""
+    """Counts and densities per class over equal bins from ``lo`` to ``hi`` (default: the range of the values). No value, no row."""
     v = F.col(value).cast("double")
     if lo is None or hi is None:
         row = df.agg(F.min(v), F.max(v)).first()
         lo, hi = (row[0] if lo is None else lo), (row[1] if hi is None else hi)
+        if lo is None or hi is None:
+            lo = hi = 0.0
     bins = edges - 1
     width = (hi - lo) / bins or 1.0
     inside = df.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
@@ -273,7 +275,7 @@ def winsorised_histogram(df: DataFrame, value: str, label: str = "y", edges: int
     limit = F.when(F.col(label) == 1, F.lit(q["c1"][0])).otherwise(F.lit(q["c0"][0]))
     capped = df.select(F.col(label), F.least(F.col(value), limit).alias(value))
     top = exact_quantiles(capped, {value: [upto]})[value][0]
-    return histogram(capped, value, label, edges, 0.0, top)
+    return histogram(capped, value, label, edges, 0.0, 0.0 if top is None else top)
 
 
 def kde(df: DataFrame, score: str = "if_score", label: str = "y", points: int = 500, bandwidth: float = 0.12, margin: float = 0.01) -> DataFrame:
@@ -395,6 +397,7 @@ def evaluation_row(df: DataFrame, name: str, score: str, label: str = "y", pred:
     twice = F.sum(F.col("neg") * (F.lit(2.0) * F.col("tp") - F.col("pos")))
     return m.agg((twice / F.lit(2.0) / F.max("n_pos") / F.max("n_neg")).alias("roc_auc"), area.alias("pr_auc")).select(
         F.lit(name).alias("model"),
+        *[F.lit(counts[c]).alias(c) for c in ("tn", "fp", "fn", "tp")],
         *[F.lit(float(counts[c])).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
         "roc_auc",
         "pr_auc",

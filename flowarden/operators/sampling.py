@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowarden.operators.ordered import ranked, running, smallest
+from flowarden.session import materialise
+
+HASH_DIGITS = 12  # hex digits of a hash that bound a sample
 
 
 def hash_order(key: str, seed: int | str) -> Column:
@@ -18,9 +21,28 @@ def label_union(attack: DataFrame, normal: DataFrame, name: str = "true_label")
     return attack.withColumn(name, F.lit(1)).unionByName(normal.withColumn(name, F.lit(0)))
 
 
+def first_by_hash(df: DataFrame, n: int, hashed: str, key: str) -> DataFrame:
+    """The ``n`` rows with the smallest md5 in column ``hashed`` (ties by ``key``), with two passes over ``df``.
+
+    md5 is uniform, so the bound below which ``n`` of N rows lie is known from N alone, up to chance: rows under a
+    slightly wider bound are stored and counted, and the bound is widened in the unlikely case that they are too few.
+    """
+    rows = df.count()
+    slack = 1.0
+    while True:
+        share = slack * (n + 6 * n**0.5 + 20) / max(rows, 1)
+        if share >= 1:
+            return df.orderBy(hashed, key).limit(n)
+        bound = format(int(share * 16**HASH_DIGITS), f"0{HASH_DIGITS}x")
+        kept = materialise(df.where(F.col(hashed) < F.lit(bound)), "sample")
+        if kept.count() >= n:
+            return kept.orderBy(hashed, key).limit(n)
+        slack *= 2
+
+
 def sample_n(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
     """Exactly min(n, rows) rows without replacement."""
-    return smallest(df.withColumn("__h", hash_order(key, seed)), ["__h", key], n).drop("__h")
+    return first_by_hash(df.withColumn("__h", hash_order(key, seed)), n, "__h", key).drop("__h")
 
 
 def sample_per_class(df: DataFrame, n: int, seed: int | str, key: str, label: str = "label") -> DataFrame:

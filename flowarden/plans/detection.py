@@ -17,10 +17,10 @@ from flowarden.operators.evaluate import binary_metrics
 from flowarden.operators.features import featurise_flows, label_column, resolve_columns, with_binary_label
 from flowarden.operators.history import EXPORT_COLUMNS
 from flowarden.operators.ordered import ranked
-from flowarden.operators.sampling import head_then_sample, label_union
+from flowarden.operators.sampling import label_union, sample_n
 from flowarden.session import materialise
 from flowarden.sources.tables import append_history
-from flowarden.streaming.packets import CONTEXT_SECONDS, per_window_sink, snapshot, stream_flows
+from flowarden.streaming.packets import CONTEXT_SECONDS, per_window_sink, snapshot, stream_flows, window_grid
 
 IDENTITY = ["src_ip", "dst_ip", "dst_port", "protocol"]
 
@@ -29,8 +29,8 @@ def train_hybrid(
     attack: DataFrame, normal: DataFrame, key: str, n: int = 5000, seed: int = 42, path: str | None = None,
     forest_trees: int = 100, trees: int = 100,
 ) -> HybridDetector:
-    """Hybrid detector from flow exports: the first 2n rows of each class, n of them sampled."""
-    both = label_union(head_then_sample(attack, n, seed, key), head_then_sample(normal, n, seed, key), "y")
+    """Hybrid detector from flow exports, fitted on at most ``n`` rows of each class drawn from all of them."""
+    both = label_union(sample_n(attack, n, seed, key), sample_n(normal, n, seed, key), "y")
     model = HybridDetector.fit(featurise_flows(both, keep=[key, "y"]), label="y", key=key, forest_trees=forest_trees, trees=trees, seed=seed)
     if path:
         model.save(attack.sparkSession, path)
@@ -104,7 +104,8 @@ def online_detect(
     """Streaming job: packets → windowed flows → verdicts → snapshots and history below ``out``.
 
     Each micro-batch writes its own folders and overwrites them when retried, so a restart neither loses
-    nor repeats rows. Windows without packets leave no row; readers fill them from a window grid.
+    nor repeats rows. Windows without packets get zero rows, from the first window to
+    the newest one closed.
     """
     spark: SparkSession = packets.sparkSession
     attribute = Attributor(spark, detector.booster.model, detector.input_names, detector.feature_names) if explain else None
@@ -112,7 +113,15 @@ def online_detect(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         scored = materialise(score_flows(batch, detector, threshold, attribute), "online")
-        snapshot(scored).write.mode("overwrite").parquet(f"{out}/snapshots/batch={batch_id}")
+        shown, last = scored.select("window"), None
+        if batch_id:  # the grid goes on where the batches before ended
+            before = spark.read.parquet(f"{out}/snapshots").where(F.col("batch") < batch_id).select("window")
+            last = before.agg(F.max("window").alias("window")).where("window IS NOT NULL")
+            shown = shown.unionByName(last)
+        grid = window_grid(shown, seconds)
+        if last is not None:
+            grid = grid.join(last, "window", "left_anti")
+        snapshot(scored, grid).write.mode("overwrite").parquet(f"{out}/snapshots/batch={batch_id}")
         rows = history_rows(scored, "Online").withColumn("timestamp", F.date_format("window.end", "yyyy-MM-dd HH:mm:ss"))
         keyed = rows.withColumn("row_key", F.concat_ws("|", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"))
         stored = ranked(keyed, ["row_key"], "__pos").withColumn("id", F.col("__pos") + F.lit(batch_id * 2**32))

@@ -17,7 +17,7 @@ from flowarden.operators.features import (
     MedianImputer, SkewLog1p, StandardScale, feature_columns, featurise_flows, one_hot_aligned, synth_timestamps, with_binary_label,
     zero_variance_columns,
 )
-from flowarden.operators.sampling import hash_order, label_union, sample_n, stratified_split
+from flowarden.operators.sampling import hash_order, label_union, sample_per_class, stratified_split, unused_rows
 from flowarden.operators.windows import resample
 from flowarden.session import materialise
 from flowarden.sources.tables import KDD_CATEGORICAL
@@ -34,26 +34,32 @@ class Study:
         return self.tables[name]
 
 
-def _balanced(attack: DataFrame, normal: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    return materialise(label_union(sample_n(attack, n, seed, key), sample_n(normal, n, seed, key), "y"), "sample")
+def _balanced(both: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """At most ``n`` rows of each class, drawn from all of them: what a model is fitted on."""
+    return materialise(sample_per_class(both, n, seed, key, "y"), "sample")
 
 
-def _forest_scores(df: DataFrame, features: list[str], key: str, share: float, trees: int, seed: int) -> DataFrame:
-    """Stored rows with if_score, if_label and pred of a forest fitted on their scaled features."""
+def _forest_scores(df: DataFrame, features: list[str], key: str, share: float, trees: int, seed: int, n: int) -> DataFrame:
+    """All rows, stored, with if_score, if_label and pred. Scaling and forest are fitted on ``n`` rows of each class."""
     scaled = {f: f"z{i}" for i, f in enumerate(features)}
-    z = df.withColumns({scaled[f]: e for f, e in StandardScale.fit(df, features).expressions().items()})
     names = list(scaled.values())
-    scored = materialise(IsolationForest(trees, seed=seed).fit(z, names, key).score(z).drop(*names), "scored")
+    sample = _balanced(df, n, key, seed)
+    scale = {scaled[f]: e for f, e in StandardScale.fit(sample, features).expressions().items()}
+    forest = IsolationForest(trees, seed=seed).fit(sample.withColumns(scale), names, key)
+    scored = materialise(forest.score(df.withColumns(scale)).drop(*names), "scored")
     flagged = E.flag_by_contamination(scored, share)
     return flagged.withColumns({"pred": flag_to_label("if_label"), "score": -F.col("if_score")})
 
 
 def flow_report(attack: DataFrame, normal: DataFrame, key: str, n: int = 6000, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
-    """Sampled and shuffled flows on a one-day clock: typed alerts, best per half hour, quality, series."""
-    both = _balanced(attack, normal, n, key, seed).withColumn("__h", hash_order(key, seed))
+    """All flows, shuffled on a one-day clock: typed alerts, best per half hour, quality, series.
+
+    ``n`` rows of each class fit the model; everything else covers every row.
+    """
+    both = label_union(attack, normal, "y").withColumn("__h", hash_order(key, seed))
     timed = synth_timestamps(both, ["__h", key])
     flows = featurise_flows(timed, keep=[key, "timestamp", "y"]).withColumns({f: clean_inf(f) for f in CORE_FEATURES})
-    scored = _forest_scores(materialise(flows, "flows"), CORE_FEATURES, key, share, trees, seed)
+    scored = _forest_scores(materialise(flows, "flows"), CORE_FEATURES, key, share, trees, seed, n)
     alerts = with_baseline(scored.where("if_label = -1"), baseline_stats(scored, FLOW_BASELINE)).withColumns(classify_flow())
     series = {
         "byte_rate": ("mean", "flow_byts_s"), "packets": ("sum", "total_pkts"), "resets": ("sum", "rst_flag"), "worst_score": ("min", "if_score"),
@@ -70,10 +76,10 @@ def flow_report(attack: DataFrame, normal: DataFrame, key: str, n: int = 6000, s
 
 
 def dataset_comparison(attack: DataFrame, normal: DataFrame, key: str, features: list[str], n: int = 20_000, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
-    """Forest quality on a balanced sample plus the class-difference tables behind the charts."""
-    both = _balanced(attack, normal, n, key, seed)
+    """Forest quality on all rows plus the class-difference tables behind the charts; ``n`` rows of each class fit it."""
+    both = label_union(attack, normal, "y")
     clean = materialise(both.select(col(key), "y", *[clean_inf(f, 0, True).alias(f) for f in features]), "clean")
-    scored = _forest_scores(clean, features, key, share, trees, seed)
+    scored = _forest_scores(clean, features, key, share, trees, seed, n)
     tables = {
         "report": E.classification_report(scored), "roc": E.roc_curve(scored), "roc_auc": E.roc_auc(scored), "pr": E.pr_curve(scored),
         "average_precision": E.average_precision(scored), "sweep": E.threshold_sweep(scored), "operating_point": E.operating_point(scored),
@@ -87,14 +93,20 @@ def dataset_comparison(attack: DataFrame, normal: DataFrame, key: str, features:
 def all_feature_run(
     attack: DataFrame, normal: DataFrame, key: str, baseline: DataFrame | None = None, n: int = 6000, share: float = 0.40, trees: int = 200, seed: int = 42
 ) -> Study:
-    """Forest over every usable column, compared with a baseline (metric, value) table."""
-    both = _balanced(attack, normal, n, key, seed)
+    """Forest over every usable column, compared with a baseline (metric, value) table.
+
+    Medians, skewness, scaling and forest are fitted on ``n`` rows of each class; all rows are scored and reported.
+    """
+    both = label_union(attack, normal, "y")
+    sample = _balanced(both, n, key, seed)
     features = feature_columns(both, [key, "y", "label"])
-    x = MedianImputer.fit(both, features).transform(both)
-    constant = set(zero_variance_columns(x, features))
+    imputer = MedianImputer.fit(sample, features)
+    sample = imputer.transform(sample)
+    constant = set(zero_variance_columns(sample, features))
     features = [f for f in features if f not in constant]
-    x = materialise(SkewLog1p.fit(x, features).transform(x).drop(*constant), "features")
-    scored = _forest_scores(x, features, key, share, trees, seed)
+    skew = SkewLog1p.fit(sample, features)
+    x = materialise(skew.transform(imputer.transform(both)).drop(*constant), "features")
+    scored = _forest_scores(x, features, key, share, trees, seed, n)
     tables = {
         "report": E.classification_report(scored), "best_threshold": E.best_f1_threshold(scored), "histogram": E.histogram(scored, "if_score"),
         "cohens_d": E.cohens_d(scored, features), "correlation": E.score_label_correlation(scored),
@@ -108,11 +120,17 @@ def all_feature_run(
 def rigorous_eval(
     attack: DataFrame, normal: DataFrame, key: str, n: int = 10_000, k: int = 5, forest_trees: int = 150, trees: int = 100, rounds: int = 50, seed: int = 42
 ) -> Study:
-    """60/20/20 split before anything is fitted; cross-validation on the training part; all models on test and unseen."""
-    both = _balanced(attack, normal, n, key, seed)
+    """60/20/20 split before anything is fitted; cross-validation on the training part; all models on test and unseen.
+
+    ``n`` rows of each class are split; all rows outside the sample are unseen too, so every row that no model was
+    fitted on is scored.
+    """
+    whole = label_union(attack, normal, "y")
+    both = _balanced(whole, n, key, seed)
     features = feature_columns(both, [key, "y", "label"])
     split = materialise(stratified_split(both, [0.6, 0.2, 0.2], "y", key, seed), "split")
     train, test, unseen = (split.where(F.col("split") == i) for i in range(3))
+    unseen = unseen.drop("split").unionByName(unused_rows(whole, split, key))
     folds, summary = cross_validate(train, features, k, key=key, trees=trees, seed=seed)
     metrics, hybrid = compare_models(
         train, {"test": test, "unseen": unseen}, features, key=key, forest_trees=forest_trees, trees=trees, rounds=rounds, seed=seed, augment_scaled=False
@@ -135,11 +153,12 @@ def kdd_eval(train: DataFrame, test: DataFrame, key: str, forest_trees: int = 10
 
 
 def algorithm_comparison(attack: DataFrame, normal: DataFrame, key: str, n: int = 10_000, forest_trees: int = 200, trees: int = 100, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """Core features, 80/20 split, the four single models."""
-    flows = featurise_flows(_balanced(attack, normal, n, key, seed), "all", keep=[key, "y"]).withColumns({f: clean_inf(f) for f in CORE_FEATURES})
-    split = materialise(stratified_split(flows, [0.8, 0.2], "y", key, seed), "split")
+    """Core features, 80/20 split of ``n`` rows of each class, the four single models; rows outside the sample are ``unseen``."""
+    flows = featurise_flows(label_union(attack, normal, "y"), "all", keep=[key, "y"]).withColumns({f: clean_inf(f) for f in CORE_FEATURES})
+    flows = materialise(flows, "flows")
+    split = materialise(stratified_split(_balanced(flows, n, key, seed), [0.8, 0.2], "y", key, seed), "split")
     metrics, _ = compare_models(
-        split.where("split = 0"), {"test": split.where("split = 1")}, CORE_FEATURES, key=key, models=(ISOLATION, ADABOOST, BOOSTED, FOREST),
+        split.where("split = 0"), {"test": split.where("split = 1"), "unseen": unused_rows(flows, split, key)}, CORE_FEATURES, key=key, models=(ISOLATION, ADABOOST, BOOSTED, FOREST),
         log=False, forest_trees=forest_trees, trees=trees, rounds=rounds, seed=seed,
     )
     return metrics

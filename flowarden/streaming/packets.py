@@ -26,6 +26,7 @@ PAYLOAD_DEFAULTS = {
     "length": 64, "syn_flag": 0, "rst_flag": 0, "fin_flag": 0,
 }
 CONTEXT_SECONDS = 30
+END_MARKER = 4_102_444_800.0  # 2100-01-01, in seconds
 KEEP_SNAPSHOTS = 30
 TOP_IPS = 5
 TOP_ALERTS = 25
@@ -57,6 +58,16 @@ def packet_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_t
     return normalise_payload(reader.load(path))
 
 
+def append_end_marker(spark: SparkSession, path: str, fmt: str = "json") -> None:
+    """Close the last windows of a bounded stream: add a packet far ahead in event time to its folder.
+
+    A stream releases a window once the watermark has passed it, so without anything newer the last ones would stay
+    open. The marker's own window is never passed, so it leaves no row. Write it after all packets.
+    """
+    marker = spark.createDataFrame([(END_MARKER, *PAYLOAD_DEFAULTS.values())], PAYLOAD_SCHEMA)
+    marker.coalesce(1).write.mode("append").format(fmt).save(path)
+
+
 def with_event_time(packets: DataFrame, name: str = "ts") -> DataFrame:
     return packets.withColumn(name, F.timestamp_micros(F.round(F.col("time") * 1_000_000).cast("long")))
 
@@ -209,6 +220,13 @@ def online_episodes(
     return per_window_sink(lowest, handle, f"{out}/checkpoint", once)
 
 
+def append_last_instant(alerts: DataFrame, path: str) -> None:
+    """Close a bounded alert stream: a row far ahead in event time, in a file of its own. Its own instant is never released."""
+    last = F.timestamp_seconds(F.lit(END_MARKER)).cast(alerts.schema["timestamp"].dataType)
+    marker = alerts.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in alerts.schema])
+    marker.withColumn("timestamp", last).coalesce(1).write.mode("append").parquet(path)
+
+
 def read_online_episodes(spark: SparkSession, out: str) -> DataFrame:
     """Closed episodes of all batches and the ones still open after the last."""
     still_open = spark.read.parquet(f"{out}/open")
