@@ -39,7 +39,7 @@ PATTERNS = {
     "card": _EDGE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
-MAY_HOLD = r"[0-9@]|" + SECRET_NAME  # a text without these holds nothing
+MAY_HOLD = "[0-9@:=]"  # a text without any of these holds nothing
 
 
 def _let(value: Column, use) -> Column:
