@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from flowarden.functions.scalars import col
 from flowarden.operators.ordered import running
 from flowarden.operators.quantiles import exact_quantiles, order_statistics
+from flowarden.session import materialise
 
 # Contamination grid of the sweep.
 SWEEP = [0.05 + i * 0.05 for i in range(15)]
@@ -95,26 +96,16 @@ def classification_report(df: DataFrame, label: str = "y", pred: str = "pred") -
     return c.select(F.inline(rows))
 
 
-def _cumulative(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Per distinct score, from the highest: own counts (pos, neg) and counts at or above it (tp, fp)."""
-    y = F.col(label)
-    by_score = (
-        df.groupBy(F.col(score).cast("double").alias("threshold"))
-        .agg(_n(y == 1).alias("pos"), _n(y == 0).alias("neg"))
-        .withColumn("__desc", -F.col("threshold"))
-    )
-    return running(by_score, ["__desc"], {"tp": "pos", "fp": "neg"}).drop("__desc")
-
-
-def _class_totals(df: DataFrame, label: str) -> tuple[int, int]:
-    row = df.agg(_n(F.col(label) == 1), _n(F.col(label) == 0)).first()
-    return row[0], row[1]
-
-
 def _per_score_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
-    pos, neg = _class_totals(df, label)
-    c = _cumulative(df, score, label)
-    return c.select(
+    """Per distinct score, from the highest: own counts (pos, neg), counts at or above it (tp, fp) and rates.
+
+    The rows are read once: counts per score are stored, and class totals and running counts start from them.
+    """
+    y = F.col(label)
+    by_score = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(_n(y == 1).alias("pos"), _n(y == 0).alias("neg"))
+    by_score = materialise(by_score.withColumn("__desc", -F.col("threshold")), "per-score")
+    pos, neg = (n or 0 for n in by_score.agg(F.sum("pos"), F.sum("neg")).first())
+    return running(by_score, ["__desc"], {"tp": "pos", "fp": "neg"}).select(
         "threshold", "pos", "neg", "tp", "fp",
         (F.col("tp") / F.lit(float(max(pos, 1)))).alias("tpr"),
         (F.col("fp") / F.lit(float(max(neg, 1)))).alias("fpr"),

@@ -161,10 +161,28 @@ def drop_zero_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*zero_variance_columns(df, cols))
 
 
+def one_hot_sparse(train: DataFrame, test: DataFrame, cats: Sequence[str], name: str = "categories") -> tuple[DataFrame, DataFrame]:
+    """One sparse vector of 0/1 entries per row instead of ``cats``, over the values seen in either table; nulls are all 0."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    both = train.select(*[col(c).cast("string").alias(c) for c in cats]).unionByName(test.select(*[col(c).cast("string").alias(c) for c in cats]))
+    indexed, encoded = [f"__i_{c}" for c in cats], [f"__v_{c}" for c in cats]
+    index = StringIndexer(inputCols=list(cats), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep").fit(both)
+    hot = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="error").fit(index.transform(both))
+    join = VectorAssembler(inputCols=encoded, outputCol=name)
+
+    def encode(df: DataFrame) -> DataFrame:
+        typed = df.withColumns({c: col(c).cast("string") for c in cats})
+        return join.transform(hot.transform(index.transform(typed))).drop(*cats, *indexed, *encoded)
+
+    return encode(train), encode(test)
+
+
 def one_hot_aligned(train: DataFrame, test: DataFrame, cats: Sequence[str], max_values: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """0/1 columns for each value seen in either table, the same columns on both.
 
-    Column count equals the number of values, so an open-ended column is refused, not truncated.
+    Column count equals the number of values, so an open-ended column is refused, not truncated: ``one_hot_sparse``
+    takes any number.
     """
     values: dict[str, list] = {}
     for c in cats:

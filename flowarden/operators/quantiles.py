@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowarden.session import materialise
+
 GATHER_LIMIT = 20_000
 ACCURACY = 10_000
 
@@ -74,6 +77,10 @@ def order_statistics(
                 for r in t.ranks:
                     found[t.col][1][r] = values[r - t.below]
         todo = _narrow(df, large, found) if large else []
+        if any(t.size > GATHER_LIMIT for t in todo):
+            # a small share of the rows is left: further rounds read only these
+            inside = [t.values().isNotNull() for t in todo]
+            df = materialise(df.where(reduce(Column.__or__, inside)), "narrowed")
     return found
 
 

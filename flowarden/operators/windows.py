@@ -61,11 +61,8 @@ def resample(df: DataFrame, ts: str, every: str, measures: Mapping[str, tuple[st
         .agg(*[makers[how](c).alias(name) for name, (how, c) in measures.items()])
         .select(F.col("w.start").alias("bin"), *measures)
     )
-    # only the two ends come from a full pass; the step is the window length
-    ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    first = ends.select(F.explode(F.array("lo", "hi")).alias("t")).where("t is not null")
-    edges = first.groupBy(F.window("t", every).alias("w")).agg(F.lit(1)).select(F.col("w.start").alias("s"))
-    grid = edges.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo is not null")
+    # the two ends are those of the bins, so the rows are read once
+    grid = binned.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null")
     grid = grid.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {every}"))).alias("bin"))
     joined = grid.join(binned, "bin", "left")
     out = []

@@ -29,7 +29,7 @@ def triage(scored: DataFrame, contamination: float = 0.02) -> DataFrame:
     """Ranked episodes from window profiles that carry ``if_score``."""
     scored = materialise(scored, "windows")  # read by the threshold, the baseline and the episode passes
     alerts = label_windows(flag_by_contamination(scored, contamination))
-    return severity_rank(episodes(alerts), ("timestamp", "src_ip", "type"))
+    return severity_rank(materialise(episodes(alerts), "episodes"), ("timestamp", "src_ip", "type"))
 
 
 def score_windows(conn_log: DataFrame, window: str = "5 minutes", trees: int = 200, seed: int = 42) -> DataFrame:

@@ -223,3 +223,20 @@ def test_score_curves_against_numpy(spark):
     assert evaluate.average_precision(df).first()[0] == pytest.approx(np.sum(np.diff(np.r_[0, r]) * p), abs=1e-12)
     f1 = 2 * p * r / np.maximum(p + r, 1e-9)
     assert evaluate.best_f1_threshold(df).first()["f1"] == pytest.approx(f1.max(), abs=1e-12)
+
+
+def test_sparse_categories_agree_with_columns(spark):
+    from flowarden.operators.features import one_hot_aligned, one_hot_sparse
+
+    train = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "id int, c string")
+    test = spark.createDataFrame([(4, "z"), (5, "a")], "id int, c string")
+    for wide, sparse in zip(one_hot_aligned(train, test, ["c"]), one_hot_sparse(train, test, ["c"])):
+        want = {r.id: [r.c_a, r.c_b, r.c_z] for r in wide.collect()}
+        assert {r.id: r.categories.toArray().tolist() for r in sparse.collect()} == want
+
+
+def test_empty_tables_give_empty_results(spark):
+    from flowarden.operators import evaluate
+
+    none = spark.createDataFrame([], "y int, v double, if_score double")
+    assert evaluate.histogram(none, "v").count() == evaluate.winsorised_histogram(none, "v").count() == evaluate.threshold_sweep(none).count() == 0
