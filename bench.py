@@ -21,7 +21,7 @@ HEADLINE = [
 
 def main() -> None:
     from checks.registry import queries
-    from flowarden.session import local_session
+    from flowarden.session import local_session, owned_intermediates
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), name="bench")
@@ -32,7 +32,8 @@ def main() -> None:
     times = {}
     for name in chosen:
         start = time.perf_counter()
-        registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with owned_intermediates(spark):
+            registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir).removeprefix("sf")}))

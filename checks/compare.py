@@ -47,7 +47,7 @@ def differences(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> str | None:
 
 def main(argv: list[str]) -> int:
     from checks.registry import oracle_sql, queries
-    from flowarden.session import local_session
+    from flowarden.session import local_session, owned_intermediates
 
     sf_dir, names = argv[0], argv[1:]
     spark = local_session(8)
@@ -57,7 +57,8 @@ def main(argv: list[str]) -> int:
     for name in names or qs:
         start = time.time()
         try:
-            got = qs[name](spark, sf_dir).toPandas()
+            with owned_intermediates(spark):
+                got = qs[name](spark, sf_dir).toPandas()
             took = time.time() - start
             if name in sql:
                 problem = differences(got, con.execute(sql[name]).df())

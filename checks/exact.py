@@ -450,15 +450,15 @@ def _(s, d):
 
 METRICS_SQL = CONFUSION + """, mt AS (SELECT (tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision,
   CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM cm), mf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM mt)"""
-REFERENCE_METRICS = {"precision": 0.695, "recall": 0.555, "f1": 0.617, "accuracy": 0.656}
+BASELINE_METRICS = {"precision": 0.695, "recall": 0.555, "f1": 0.617, "accuracy": 0.656}
 
 
 @exact("j5_metric_delta", oracle(["scored_flows"], METRICS_SQL + ", lg AS (UNPIVOT mf ON precision, recall, f1, accuracy INTO NAME metric VALUE v) SELECT lg.metric, b.v AS baseline, lg.v AS \"new\", lg.v - b.v AS diff, CASE WHEN lg.v - b.v > 0 THEN '^' ELSE 'v' END AS direction FROM lg JOIN (VALUES "
-    + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in REFERENCE_METRICS.items()) + ") AS b(metric, v) ON b.metric = lg.metric"))
+    + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in BASELINE_METRICS.items()) + ") AS b(metric, v) ON b.metric = lg.metric"))
 def _(s, d):
     m = E.binary_metrics(view(s, d, "scored_flows"))
     new = m.unpivot([], ["precision", "recall", "f1", "accuracy"], "metric", "value")
-    return E.metric_delta(s.createDataFrame(list(REFERENCE_METRICS.items()), "metric string, value double"), new)
+    return E.metric_delta(s.createDataFrame(list(BASELINE_METRICS.items()), "metric string, value double"), new)
 
 
 @exact("j6_unused_rows", oracle(["raw_flows"], "s AS (SELECT flow_id FROM raw_flows WHERE label = 1 ORDER BY md5(flow_id || '|42'), flow_id LIMIT 500) SELECT flow_id, label FROM raw_flows WHERE flow_id NOT IN (SELECT flow_id FROM s)"))

@@ -404,6 +404,23 @@ def _(s, d):
     return offline(s, d).timeline
 
 
+@exact("q2_offline_store", "SELECT 'Offline' AS mode, count(*) AS stored, count(*) AS explained_if_flagged FROM lineitem")
+def _(s, d):
+    """The whole offline run with attribution and history: every flow is stored, contributions with the flagged ones alone."""
+    path = scratch_path(s, "store")
+    D.offline_detect(raw_flows(s, d), detector(s, d), "flow_id", explain=True, history_path=path)
+    explained = F.length("shap_explanation") > 2
+    return s.read.parquet(path).groupBy("mode").agg(F.count(F.lit(1)).alias("stored"), F.count(F.when(explained == (F.col("prediction") == 1), 1)).alias("explained_if_flagged"))
+
+
+@exact("q3_online_store", oracle(["packets"], FIVE_W + " SELECT strftime(\"window\" + INTERVAL 30 SECOND, '%Y-%m-%d %H:%M:%S') AS timestamp, count(*) AS stored, count(DISTINCT (src_ip, dst_ip, src_port, dst_port, protocol)) AS ids FROM fl GROUP BY 1"))
+def _(s, d):
+    """The online run with attribution: the history holds every flow of every window, each under its own id."""
+    out = scratch_path(s, "online")
+    D.online_detect(P.packet_stream(s, packet_files(s, d), "parquet"), detector(s, d), out, explain=True).awaitTermination()
+    return s.read.parquet(f"{out}/history").groupBy("timestamp").agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("id").alias("ids"))
+
+
 @modelled("q3_online_detect")
 def _(s, d):
     snap = s.read.parquet(f"{online_run(s, d)}/snapshots")

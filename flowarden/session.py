@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+_owner: ContextVar[str] = ContextVar("owner", default="")
+
 
 def local_session(cores: str | int = "*", partitions: int = 8, name: str = "flowarden") -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
@@ -42,8 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the block that owns intermediates."""
+    return f"{_owner.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def owned_intermediates(spark: SparkSession) -> Iterator[str]:
+    """Own what a block stores: everything ``materialise`` writes in it is deleted when it ends.
+
+    Results must be read or written before the end. Without an owner intermediates stay in the shared folder.
+    """
+    path = scratch_path(spark, "owned")
+    token = _owner.set(path)
+    try:
+        yield path
+    finally:
+        _owner.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

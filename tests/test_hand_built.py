@@ -54,6 +54,7 @@ def test_empty_triage_keeps_schema(spark):
 
 
 def test_outlier_set(spark):
+    # A known-answer set of ten normal hosts and three outliers.
     normal = [(2, 150, 0.01), (3, 200, 0.02), (1, 180, 0.0), (4, 120, 0.03), (2, 170, 0.01), (3, 160, 0.02), (2, 190, 0.0), (1, 140, 0.01), (3, 210, 0.02), (2, 155, 0.01)]
     odd = [(847, 190, 0.02), (3, 5000, 0.01), (2, 165, 0.97)]
     rows = [(i, *map(float, r)) for i, r in enumerate(normal + odd)]
@@ -240,3 +241,13 @@ def test_empty_tables_give_empty_results(spark):
 
     none = spark.createDataFrame([], "y int, v double, if_score double")
     assert evaluate.histogram(none, "v").count() == evaluate.winsorised_histogram(none, "v").count() == evaluate.threshold_sweep(none).count() == 0
+
+
+def test_threat_context_is_the_expected_table():
+    """The joins are compared with SQL made from the same table, so its values are pinned here."""
+    import hashlib
+    import json
+
+    from flowarden.operators.threats import THREAT_CONTEXT
+
+    assert hashlib.sha256(json.dumps(THREAT_CONTEXT, sort_keys=True).encode()).hexdigest() == "32e6a669c073f5469ce007fd56184f6426e6fb407720f9ae6007cc6f9b66ad3c"

@@ -154,3 +154,15 @@ def test_split_without_shuffle_keeps_proportions(spark):
     share = {r["split"]: r["count"] / 20_000 for r in split.groupBy("split").count().collect()}
     assert share[0] == pytest.approx(0.6, abs=0.02) and share[2] == pytest.approx(0.2, abs=0.02)
     assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_owned_intermediates_go(spark):
+    import os
+
+    from flowarden.session import materialise, owned_intermediates
+
+    with owned_intermediates(spark) as path:
+        stored = materialise(spark.range(5), "five")
+        place = path.removeprefix("file:")
+        assert stored.count() == 5 and os.listdir(place)
+    assert not os.path.exists(place)
