@@ -32,7 +32,7 @@ from flowarden.session import materialise
 LEAST_PAGES = 3
 MOST_DEPTH = 60  # skeletons end there; deeper text belongs to the node at this depth
 WIDE = 20_000  # child pairs up to which siblings are matched by the full table, beyond by label order
-BROADCAST_BYTES = 4_000_000  # wrappers up to this counted size are broadcast
+BROADCAST_BYTES = 4_000_000  # tables by host up to this counted size are broadcast
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -301,13 +301,19 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     distinct = shapes.groupBy("host", "content").agg(F.min("nodes").alias("nodes"))
     distinct = materialise(distinct, "articles")
     reference = distinct.groupBy("host").agg(F.min("nodes").alias("reference"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    met = distinct.join(reference.select("host", "reference"), "host").select("host", "reference", "nodes")
+    known = _small(materialise(reference.select("host", "reference"), "references"), "reference")
+    met = distinct.join(known, "host").select("host", "reference", "nodes")
     nodes = met.mapInArrow(_aligned, "host string, node int, text long")
     counted = nodes.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
     constant = counted.where((F.col("n") >= least_pages) & (F.col("low") == F.col("high")))
     by_host = constant.groupBy("host").agg(F.array_sort(F.collect_list(F.array(F.col("node").cast("long"), "low"))).alias("constant"))
-    known = by_host.join(reference.select("host", "reference"), "host")
-    return known.select("host", F.concat(F.lit('{"constant":'), F.to_json("constant"), F.lit(',"nodes":'), F.col("reference"), F.lit("}")).alias("wrapper"))
+    return by_host.join(known, "host").select("host", F.concat(F.lit('{"constant":'), F.to_json("constant"), F.lit(',"nodes":'), F.col("reference"), F.lit("}")).alias("wrapper"))
+
+
+def _small(table: DataFrame, column: str) -> DataFrame:
+    """``table`` to be broadcast if its counted size allows it; a larger one is joined by its key."""
+    size = table.agg(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -318,17 +324,13 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", l
     """
     host, _ = host_and_path(F.col(url_col))
     wrappers = materialise(induce(pages.select(host.alias("host"), F.col(html_col).alias("html")), least_pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
     rows = pages.withColumn("__host", host)
 
     @F.arrow_udf("string")
     def cut(html: pa.Array, wrapper: pa.Array) -> pa.Array:
         return pa.array([extract(h, w) for h, w in zip(html.to_pylist(), wrapper.to_pylist())], pa.string())
 
-    if size:
-        known = wrappers.select(F.col("host").alias("__h"), F.col("wrapper").alias("__wrapper"))
-        rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("__host") == F.col("__h"), "left")
-    else:
-        rows = rows.withColumns({"__h": F.lit(None).cast("string"), "__wrapper": F.lit(None).cast("string")})
+    known = wrappers.select(F.col("host").alias("__h"), F.col("wrapper").alias("__wrapper"))
+    rows = rows.join(_small(known, "__wrapper"), F.col("__host") == F.col("__h"), "left")
     rows = rows.withColumn("text", F.coalesce(cut(F.col(html_col), F.col("__wrapper")), F.lit("")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).drop("__host", "__h", "__wrapper")
