@@ -96,8 +96,8 @@ def symbols(t: Text) -> bool:
 
 
 def repeated_lines(t: Text) -> bool:
-    """More than 30 % of the lines repeat an earlier one."""
-    return 10 * t.n_dup_lines > 3 * len(t.lines)
+    """More than half of the lines repeat an earlier one."""
+    return 2 * t.n_dup_lines > len(t.lines)
 
 
 def few_letters(t: Text) -> bool:

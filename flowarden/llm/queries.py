@@ -84,7 +84,7 @@ o AS (SELECT r, max(n) AS most FROM (SELECT r, w, count(*) AS n FROM (SELECT r,
 b AS (SELECT f.*, most, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f LEFT JOIN o ON o.r = f.r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-    NOT base_failed AND coalesce(word_chars, 0) BETWEEN 2 * n_words AND 20 * n_words AND 2 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * len(lines)
+    NOT base_failed AND coalesce(word_chars, 0) BETWEEN 2 * n_words AND 20 * n_words AND 2 * n_symbols <= n_words AND 2 * n_dup_lines <= len(lines)
     AND 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) >= 6 * n_words
     AND 10 * len(list_filter(words, lambda x: length(x) > 1 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '[\p{Ll}\p{Lt}]'))) <= 6 * n_words
     AND 10 * most <= 3 * n_words
