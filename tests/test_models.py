@@ -154,7 +154,8 @@ def test_offline_report(spark, sf_dir, hybrid, tmp_path):
 def test_flow_report_tables(spark, sf_dir):
     study = studies.flow_report(*classes(spark, sf_dir), "flow_id", n=800, trees=30)
     c = study["confusion"].first()
-    assert sum(c) == 1600 and study["series"].count() == 288
+    # 800 rows of each class fit the model; all rows are scored and reported
+    assert sum(c) == raw_flows(spark, sf_dir).count() and study["series"].count() == 288
     assert study["alerts"].groupBy("type", "bucket").count().where("count > 1").count() == 0
 
 
@@ -172,3 +173,12 @@ def test_dataset_comparison_tables(spark, sf_dir):
     assert all(r["a"] == pytest.approx(1, abs=0.05) for r in area)
     d = {r["feature"]: r["cohens_d"] for r in study["cohens_d"].collect()}
     assert d["SYN Flag Cnt"] > 0.5
+
+
+def test_rows_outside_the_sample_are_unseen(spark, sf_dir):
+    total = raw_flows(spark, sf_dir).count()
+    metrics = studies.algorithm_comparison(*classes(spark, sf_dir), "flow_id", n=300, forest_trees=5, trees=2, rounds=2).collect()
+    cells = {(r["model"], r["eval_set"]): r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in metrics}
+    assert len(cells) == 8 and {cells[k] for k in cells if k[1] == "test"} == {120} and {cells[k] for k in cells if k[1] == "unseen"} == {total - 600}
+    metrics = studies.rigorous_eval(*classes(spark, sf_dir), "flow_id", n=300, k=2, forest_trees=5, trees=2, rounds=2)["metrics"].collect()
+    assert {r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in metrics if r["eval_set"] == "unseen"} == {total - 480}
