@@ -206,7 +206,9 @@ def search(
     asked = usable(queries, id_col, vector_col, width).distinct()
     named = asked.join(placed.select("v", F.col("id").alias("entry")), "v", "left")
     named = materialise(named.select("id", "v", F.coalesce(F.concat(F.lit("e"), "entry"), F.concat(F.lit("q"), F.xxhash64("id", "v"))).alias("search")), "queries")
-    routes = named.groupBy("search").agg(F.first("v").alias("v")).withColumn("to", F.explode(visits("v")))
+    # few bytes but much to compute: dealt over all cores, not merged into a few tasks
+    distinct = named.groupBy("search").agg(F.first("v").alias("v")).repartition(2 * spark.sparkContext.defaultParallelism)
+    routes = distinct.withColumn("to", F.explode(visits("v")))
     routes = routes.select("search", F.col("v").alias("q"), "to.shard", "to.block", "to.cells")
     index = placed.withColumn("at", shard_of("cell", F.xxhash64("id"))).select("id", "ids", "v", "cell", "at.shard", "at.block")
     hits = routes.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(meet, "search string, hits array<struct<low:double,ids:array<long>>>")
