@@ -16,7 +16,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowarden.llm.components import connected_components
+from flowarden.llm.overlap import similar_links, sketch
 from flowarden.session import materialise
 
 SHINGLE_WORDS = 3
@@ -240,14 +241,17 @@ def near_links(fps: DataFrame, bits: int = BITS, group_rows: int = GROUP_ROWS) -
         pending = materialise(routed.join(hot, ["path", "pattern"], "left_semi").select("fp", "path").distinct(), "deeper")
 
 
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", bits: int = BITS) -> DataFrame:
+def duplicate_classes(
+    docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", bits: int = BITS, more: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``(fp, root, component_id)`` for every distinct fingerprint: its class, and the smallest id reachable by links.
 
     Null ids are passed over when the smallest is taken (null if a class has no other). Repeated rows and repeated ids
-    are allowed: classes are made of fingerprints. An empty table gives no row.
+    are allowed: classes are made of fingerprints. ``more`` may add to the links. An empty table gives no row.
     """
     first = materialise(docs.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("low")), "fingerprints")
-    roots = connected_components(near_links(first.select("fp"), bits))
+    links = near_links(first.select("fp"), bits)
+    roots = connected_components(more(links) if more else links)
     placed = materialise(
         first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots"
     )
@@ -265,15 +269,22 @@ def near_duplicates(
     return marked.join(classes, "fp").select(id_col, named, "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bits: int = BITS, least: float | None = None
+) -> DataFrame:
     """The rows of ``docs`` (its columns only) with one row left of each class: that of the smallest id.
 
-    A class without any id, or with its smallest id on several rows, keeps one of those rows.
+    A class without any id, or with its smallest id on several rows, keeps one of those rows. With ``least``, texts of
+    at least this five-word Jaccard similarity are of one class too, however far apart their fingerprints are.
     """
-    columns = docs.columns
-    marked = materialise(docs.withColumn("__fp", fingerprint(text_col, words)), "marked-documents")
+    columns, more = docs.columns, None
+    marked = docs.withColumn("__fp", fingerprint(text_col, words))
+    marked = materialise(marked if least is None else marked.withColumn("__sketch", sketch(text_col)), "marked-documents")
+    if least is not None:
+        texts = marked.select(F.col("__fp").alias("fp"), F.col(text_col).alias("text"), "__sketch.set", "__sketch.bands")
+        more = lambda links: similar_links(texts, links, least)
     slim = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
-    classes = materialise(duplicate_classes(slim, "id", "fp", bits), "classes")
+    classes = materialise(duplicate_classes(slim, "id", "fp", bits, more), "classes")
     keepers = slim.join(classes, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     # ids may repeat, so a class names one keeping fingerprint and the number of rows that could stay
     several = keepers.groupBy("root", "fp", "component_id").count()

@@ -1,0 +1,45 @@
+"""Edited copies against brute force over whole shingle sets."""
+
+import random
+
+import corpus_pipeline as C
+from flowarden.llm import overlap as O
+from tests.llm.test_simhash import classes, near, slow_fingerprint
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(one, two):
+    return bool(one | two) and len(one & two) >= 0.8 * len(one | two)
+
+
+def test_pipeline_drops_edited_copies(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(O, "LEADERS", 1)  # several rounds
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng, rows = random.Random(5), given.orderBy("doc_id").collect()
+    planted = []
+    for r in [r for r in rows if r.text and len(r.text.split()) >= 120][:25]:
+        for _ in range(2):
+            words = r.text.split()
+            for _ in range(max(1, len(words) // 120)):
+                words[rng.randrange(len(words))] = f"edited{rng.randrange(10**6)}"
+            planted.append((100_000 + len(planted), " ".join(words), r.lang, r.source, r.n_chars))
+    docs = given.unionByName(spark.createDataFrame(planted, given.schema))
+    items = [(slow_fingerprint(t), slow_set(t), i) for i, t, *_ in [tuple(r) for r in rows] + planted]
+    apart = [i for i in items if i[2] >= 100_000 and not any(near(i[0], o[0]) for o in items if o[2] != i[2])]
+    assert len(apart) >= 10  # op1's distance alone finds none of these
+    want = {items[k][2] for k in classes(items, lambda a, b: near(a[0], b[0]) or alike(a[1], b[1]))}
+    assert {r.doc_id for r in C.near_dedup(spark, docs, sf_dir).collect()} == want
+
+
+def test_only_alike_sets_are_linked(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    half = " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"v{i}" for i in range(20))
+    rows = [(1, text), (2, text + " end"), (3, half), (4, None), (5, "")]
+    made = spark.createDataFrame(rows, "fp long, text string").withColumn("s", O.sketch("text")).select("fp", "text", "s.*")
+    none = spark.createDataFrame([], "a long, b long")
+    assert {frozenset(r) for r in O.similar_links(made, none).collect()} == {frozenset((1, 2))}
+    assert O.similar_links(made.limit(0), none).count() == 0
