@@ -9,8 +9,9 @@ a keyed hash of their kind's format, which links equal values too.
 
 * cards: 13 to 19 digits with a valid Luhn check digit; the payload is permuted, the check digit recomputed;
 * bank accounts (IBAN) with valid mod-97 check digits: digits permuted, check digits recomputed;
-* social security numbers with valid area, group and serial, IPv4 addresses, telephone numbers of 8 to 15 digits;
-* calendar dates 1900-2099 (year-month-day, day/month/year, month/day/year): permuted within these years;
+* social security numbers with valid area, group and serial, IPv4 addresses;
+* telephone numbers of 8 to 15 digits after a plus sign, and ten digits as ddd ddd dddd;
+* calendar dates 1900-2099 (year-month-day, year/month/day, day/month/year, month/day/year): permuted within these years;
 * mail addresses; values of fields named token, secret, password or API key.
 """
 
@@ -27,15 +28,20 @@ DAY_WALKS = 12
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 SECRET_NAME = r"(?i:token|secret|password|passwd|api[_-]?key)"
+_MORE = r"(?:\d|[ .-]\d(?=\d))"  # one more digit; after a separator two at least
+PLUS_PHONE = (
+    r"\+(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\d{10,15}|\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d" + _MORE + r"{3,9}|\d" + _MORE + "{7,14})"
+)
+COUNTRY_CODE = r"^(\+(?:\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
 PATTERNS = {
     "secret": SECRET_NAME + r"""["']? {0,3}[:=] {0,3}["']?[A-Za-z0-9_+/=-]{16,}""",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+[\p{L}\p{N}-]*\p{L}{2}",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END,
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "phone": r"(?:\+\d{1,3}[ .-]?)\(\d{1,4}\)(?:[ .-]?\d{2,4}){2,4}" + _END + r"|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}" + _END
-    + r"|\(\d{3}\) ?\d{3}-\d{4}" + _END + "|" + _EDGE + r"\d{3}([.-])\d{3}\1\d{4}" + _END,
+    "phone": PLUS_PHONE + _END
+    + r"|\(\d{3}\) ?\d{3}[ .-]\d{4}" + _END + "|" + _EDGE + r"\d{3}([ .-])\d{3}\1\d{4}" + _END,
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[/.-]\d)",
+    "date": r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\p{L}\p{N}]|[/.-]\d)",
     "card": _EDGE + r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})" + _END,
 }
 ANY = "|".join(PATTERNS.values())
@@ -188,7 +194,7 @@ def _ssn(match: Column, key: str) -> Column:
 
 def _phone(match: Column, key: str) -> Column:
     """The country code after a plus sign stays, all further digits are permuted."""
-    code = F.regexp_extract(match, r"^(\+\d{1,3})", 1)
+    code = F.regexp_extract(match, COUNTRY_CODE, 1)
     rest = F.substring(match, F.length(code) + 1, F.length(match))
     return F.when(F.length(_digits(match)).between(8, 15), F.concat(code, _let(permute_digits(_digits(rest), key, "phone"), lambda d: _refill(rest, d)))).otherwise(match)
 
@@ -196,21 +202,23 @@ def _phone(match: Column, key: str) -> Column:
 def _date(match: Column, key: str) -> Column:
     sep = F.regexp_extract(match, r"^\d+(\D)", 1)
     part = [F.regexp_extract(match, r"^(\d+)\D(\d+)\D(\d+)$", i).cast("int") for i in (1, 2, 3)]
-    iso = sep == "-"
+    year_first = match.rlike(r"^\d{4}")
 
     def day(y, m, d):
         return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
     day_first, month_first = day(part[2], part[1], part[0]), day(part[2], part[0], part[1])
-    value = F.when(iso, day(*part)).otherwise(F.coalesce(day_first, month_first))
+    value = F.when(year_first, day(*part)).otherwise(F.coalesce(day_first, month_first))
     first = F.lit(FIRST_DAY).cast("date")
     number = F.datediff(value, first)
+    year_padded = match.rlike(r"\D0|\D\d\d\D\d\d$")
     padded = F.regexp_extract(match, r"^(\d+)", 1).rlike("^(..|0.)$") | F.regexp_extract(match, r"^\d+\D(\d+)", 1).rlike("^(..|0.)$")
 
     def written(made: Column) -> Column:
         d, m, y = [F.when(padded, F.date_format(made, p + p)).otherwise(F.date_format(made, p)) for p in ("d", "M")] + [F.date_format(made, "yyyy")]
         slashed = F.when(day_first.isNotNull(), F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
-        return F.when(iso, F.date_format(made, "yyyy-MM-dd")).otherwise(F.replace(slashed, F.lit("/"), sep))
+        dashed = F.when(year_padded, F.date_format(made, "yyyy-MM-dd")).otherwise(F.date_format(made, "yyyy-M-d"))
+        return F.when(year_first, F.replace(dashed, F.lit("-"), sep)).otherwise(F.replace(slashed, F.lit("/"), sep))
 
     return F.when(number.between(0, DAYS - 1), _let(F.date_add(first, permute_day(number, key).cast("int")), written)).otherwise(match)
 

@@ -125,3 +125,35 @@ def test_documents(spark, sf_dir):
         assert r.n_replaced or r.text == old
         assert all(m in r.text for m in re.findall(r"(?<!\w)\d{16}(?!\w)", old) if luhn(m) % 10)
     assert sum(r.n_replaced for r in rows) > 5
+
+
+def phone(code, rest):
+    it = iter(digits(re.sub(r"\D", "", rest), "phone"))
+    return code + re.sub(r"\d", lambda _: next(it), rest)
+
+
+PHONES = [
+    ("+1", "4155550123"), ("+49", " 30 1234567"), ("+1", " 415 5550123"), ("", "415 555 0123"), ("+44", " (0) 20 7946 0958"), ("+1", " (407) 555-7710"),
+    ("+353", "12345678"), ("+1", "(415)5550123"), ("+4", " 123 456 7890"), ("+7", "9161234567"), ("", "(407) 555-7710"), ("+49", "-30-1234567"), ("", "415.555.0123"),
+]
+
+
+def test_telephone_forms_against_plain_code(spark):
+    values, want = ["".join(p) for p in PHONES], [phone(*p) for p in PHONES]
+    texts = values + [f"(call {v}) 2024, or {v}." for v in values]
+    got, kinds = run(spark, texts)
+    assert got == want + [f"(call {w}) 2024, or {w}." for w in want]
+    assert kinds == [["phone"]] * len(values) + [["phone"] * 2] * len(values)
+    # a number is one, however it is written
+    same, _ = run(spark, ["+14155550123", "+1 (415) 555-0123", "+1 415 5550123", f"+14155550123 {CARD}"])
+    assert len({re.sub(r"\D", "", x) for x in same[:3]}) == 1 and same[3] == f"{same[0]} {card(CARD)}"
+    stay = ["+1234567", "+1234567890123456", "1 415 55", "+1 2 3 4 5 6 7 8 9", "4155550123"]
+    assert run(spark, stay)[0] == stay
+
+
+def test_dates_with_the_year_first_and_slashes(spark):
+    got, kinds = run(spark, ["born 2001/03/05.", "2001-03-05", "2001/3/5", "2001/02/30"])
+    assert kinds == [["date"]] * 3 + [[]] and got[3] == "2001/02/30"
+    parts = [list(map(int, re.findall(r"\d+", x))) for x in got[:3]]
+    assert parts[0] == parts[1] == parts[2] != [2001, 3, 5]
+    assert re.fullmatch(r"born \d{4}/\d\d/\d\d\.", got[0]) and got[2] == "{}/{}/{}".format(*parts[2])
