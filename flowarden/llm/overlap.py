@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +28,11 @@ BANDS = 20
 BAND_ROWS = 4
 SEED = 42
 LEADERS = 4  # of a bucket in the first round; four times as many in each further one
-HASHES_AT_ONCE = 4096
-BROADCAST_SETS = 500_000
+HASHES_AT_ONCE = 1024
+BROADCAST_SETS = 200_000
 
 
-@lru_cache(64)
+@lru_cache(16)
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the different shingles of one whole UTF-8 text; a text of fewer words is one shingle."""
     import xxhash
@@ -42,6 +43,12 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)), np.uint64, n))
 
 
+def _each(texts: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 texts of a batch one at a time: a batch holds thousands, and is not copied as a whole."""
+    for text in texts:
+        yield text.as_buffer().to_pybytes() if text.is_valid else None
+
+
 def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     both = len(np.intersect1d(one, two, assume_unique=True))
     return both / max(1, len(one) + len(two) - both)
@@ -71,11 +78,11 @@ def sketch(text: Column | str) -> Column:
     @F.arrow_udf("struct<set:long,bands:array<long>>")
     def compute(texts: pa.Array) -> pa.Array:
         names, bands = [], []
-        for text in texts.cast(pa.large_binary()).to_pylist():
+        for text in _each(texts):
             own = shingle_set(text)
             mixed = own * np.uint64(0x9E3779B97F4A7C15) ^ own >> np.uint64(29)
             names.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-            bands.append(band_hashes(own).tolist() if len(own) else [])
+            bands.append(band_hashes(own) if len(own) else own.view(np.int64))
         return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["set", "bands"])
 
     return compute(F.col(text) if isinstance(text, str) else text)
@@ -86,8 +93,7 @@ def similarity(one: str, two: str) -> Column:
 
     @F.arrow_udf("double")
     def compute(ones: pa.Array, twos: pa.Array) -> pa.Array:
-        pairs = zip(ones.cast(pa.large_binary()).to_pylist(), twos.cast(pa.large_binary()).to_pylist())
-        return pa.array([jaccard(shingle_set(a), shingle_set(b)) for a, b in pairs], pa.float64())
+        return pa.array([jaccard(shingle_set(a), shingle_set(b)) for a, b in zip(_each(ones), _each(twos))], pa.float64())
 
     return compute(F.col(one), F.col(two))
 
