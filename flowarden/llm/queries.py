@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pseudonyms, simhash, urlfilter, wrappers
+from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pieces, pseudonyms, simhash, urlfilter, wrappers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -139,3 +139,11 @@ def _(spark, d):
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
     return licences.scan(files).select("doc_id", "path", "licence", "cosine", "licence_from")
+
+
+@query("op13_sentencepiece_table")
+def _(spark, d):
+    made = table(spark, d, "documents").select("doc_id", pieces.encode("text").alias("ids"))
+    both = made.select("doc_id", "ids", pieces.decode("ids").alias("decoded"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
