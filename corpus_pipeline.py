@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import curriculum, language, overlap, packing, pseudonyms, simhash
+from flowarden.llm import curriculum, language, packing, pseudonyms, simhash
 from flowarden.session import materialise
 
 
@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that of the smallest id.
 
-    Near are fingerprints within op1's distance and texts of a five-word Jaccard similarity of 0.8 or more.
+    The SimHash operator decides, with its own shingle length and bit distance.
     """
-    return simhash.keep_one(docs, least=overlap.LEAST)
+    return simhash.keep_one(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
