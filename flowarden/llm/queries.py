@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pieces, pseudonyms, simhash, urlfilter, wrappers
+from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pieces, pseudonyms, simhash, urlfilter, variants, wrappers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -147,3 +147,38 @@ def _(spark, d):
     both = made.select("doc_id", "ids", pieces.decode("ids").alias("decoded"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# crc32 over the bytes of a text, by the usual table of 256 remainders.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """crc32 of a SQL text expression; the query joins ``crc``."""
+    code = f"hex(encode({text}))"
+    data = f"list_transform(range(0, length({code}), 2), lambda i: CAST('0x' || substr({code}, CAST(i AS INT) + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {data}), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) AS INT) + 1])), 4294967295)"
+
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, k, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM d, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, CAST(unnest(range(length(word))) AS INT) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION SELECT x.word, v.word FROM x JOIN v ON v.word = x.cut UNION SELECT v.word, x.word FROM x JOIN v ON v.word = x.cut),
+f AS (SELECT p.word, count(*) AS n_near, max(v.n) AS best_n, arg_min(p.near, (-v.n, p.near COLLATE "C")) AS best FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n
+    FROM v LEFT JOIN f ON f.word = v.word),
+c AS (SELECT word, word AS at FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.at WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, c.at AS root, g.n, CAST(g.n_near AS BIGINT) AS n_near, g.form_n
+FROM g JOIN c ON c.word = g.word JOIN g AS last ON last.word = c.at AND last.form IS NULL"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def _(spark, d):
+    return variants.variants(table(spark, d, "documents").select("doc_id", "text"))
