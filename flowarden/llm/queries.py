@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowarden.llm import cascade, curriculum, language, licences, multiindex, packing, pieces, pseudonyms, simhash, urlfilter, variants, wrappers
+from flowarden.llm import cascade, convtrie, curriculum, language, licences, multiindex, packing, pieces, pseudonyms, simhash, urlfilter, variants, wrappers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -182,3 +182,31 @@ FROM g JOIN c ON c.word = g.word JOIN g AS last ON last.word = c.at AND last.for
 @query("op11_spelling_variants", VARIANTS_SQL)
 def _(spark, d):
     return variants.variants(table(spark, d, "documents").select("doc_id", "text"))
+
+
+TRIE_SQL = rf"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '') COLLATE "C", coalesce(text, '') COLLATE "C") AS nth,
+    md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS turn, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(turn ORDER BY nth) AS turns, list(CAST(chars AS BIGINT) ORDER BY nth) AS chars FROM t GROUP BY conv_id),
+h AS (SELECT l.*, CAST({crc_sql("CAST(conv_id AS VARCHAR)")} % 6 AS INT) AS h FROM l, crc),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.turns, [])[1:h], h.turns[h + 1:]) AS turns, list_concat(coalesce(f.chars, [])[1:h], h.chars[h + 1:]) AS chars
+    FROM h LEFT JOIN l AS f ON f.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, CASE WHEN d > 0 THEN md5(array_to_string(turns[1:d], ' ')) ELSE '' END AS k, CASE WHEN d > 1 THEN md5(array_to_string(turns[1:d - 1], ' ')) WHEN d = 1 THEN '' END AS up,
+    CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS c, d = len(turns) AS ends
+    FROM (SELECT conv_id, turns, chars, CAST(unnest(range(len(turns) + 1)) AS INT) AS d FROM b)),
+n AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(c) AS c,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, k),
+x AS (SELECT n.*, u.conv_id AS parent_conv_id, coalesce(m.n_children, 0) AS n_children FROM n LEFT JOIN n AS u ON u.d = n.d - 1 AND u.k = n.up
+    LEFT JOIN (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY d, up) AS m ON m.d = n.d AND m.k = n.k),
+-- a node's ancestors are the prefixes of any conversation through it
+s AS (SELECT a.d, a.k, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.c) AS saved_tokens
+    FROM x JOIN p AS a ON a.conv_id = x.conv_id AND a.d <= x.d GROUP BY a.d, a.k)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, x.parent_conv_id, x.n_convs, CAST(x.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM x JOIN s ON s.d = x.d AND s.k = x.k"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def _(spark, d):
+    return convtrie.prefix_trie(table(spark, d, "conversations"))
