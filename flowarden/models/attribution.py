@@ -15,19 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import IMPACT_TYPE, display_name, rank_attribution
-from flowarden.session import scratch_path, spread
-
-
-def booster_nodes(spark: SparkSession, model) -> tuple[pd.DataFrame, list[float]]:
-    """Node table and tree weights of a boosted-tree model, read from its stored form."""
-    path = scratch_path(spark, "booster")
-    model.write().save(path)
-    data = spark.read.parquet(f"{path}/data").select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"), F.col("nodeData.rawCount").alias("cover"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    )
-    return data.toArrow().to_pandas().sort_values(["treeID", "id"], ignore_index=True), list(model.treeWeights)
+from flowarden.models.histogram import NodeTrees
+from flowarden.session import spread
 
 
 def _leaf_paths(tree: pd.DataFrame) -> list[tuple[float, list[int], list[float], list[float], list[float]]]:
@@ -109,9 +98,9 @@ def shapley_values(x: np.ndarray, trees: list[tuple], n_features: int) -> np.nda
 class Attributor:
     """``transform`` adds ``contributions`` (strongest first) for rows carrying the booster's inputs."""
 
-    def __init__(self, spark: SparkSession, model, inputs: Sequence[str], features: Sequence[str]):
-        nodes, weights = booster_nodes(spark, model)
-        self.trees, self.base = shapley_tables(nodes, weights)
+    def __init__(self, spark: SparkSession, model: NodeTrees, inputs: Sequence[str], features: Sequence[str]):
+        # leaves are in log-odds already, that is twice a margin of one half
+        self.trees, self.base = shapley_tables(model.nodes, [0.5] * model.trees)
         self.inputs, self.features = list(inputs), list(features)
 
     def values(self, df: DataFrame, name: str = "__phi") -> DataFrame:

@@ -6,12 +6,12 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import CORE_FEATURES, col
 from flowarden.models.iforest import IsolationForest, IsolationForestModel
+from flowarden.models.histogram import NodeTrees
 from flowarden.models.supervised import TreeEnsemble, fit_boosted_trees
 from flowarden.operators.features import MedianImputer, SkewLog1p, StandardScale
 from flowarden.session import materialise
@@ -71,7 +71,7 @@ class HybridDetector:
         shell = cls(pre, forest, augment_scaled, StandardScale(), None)
         augmented = materialise(shell._augmented(train).select(*pre.names, SCORE_FEATURE, label), "augmented")
         aug_scaler = StandardScale.fit(augmented, [*pre.names, SCORE_FEATURE])
-        booster = fit_boosted_trees(aug_scaler.transform(augmented), [*pre.names, SCORE_FEATURE], label, trees, depth, rate, seed)
+        booster = fit_boosted_trees(aug_scaler.transform(augmented), [*pre.names, SCORE_FEATURE], label, trees, depth, rate)
         return cls(pre, forest, augment_scaled, aug_scaler, booster)
 
     def _augmented(self, df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ class HybridDetector:
         }
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         self.forest.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
-        self.booster.model.write().overwrite().save(f"{path}/booster")
+        self.booster.model.save(spark, f"{path}/booster")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HybridDetector:
@@ -115,5 +115,5 @@ class HybridDetector:
         pre = Preprocessor(m["features"], MedianImputer(m["medians"]), SkewLog1p(m["skewed"]), stats(m["scale"]))
         nodes = spark.read.parquet(f"{path}/forest").toArrow().to_pandas().sort_values(["tree_id", "node_id"], ignore_index=True)
         forest = IsolationForestModel(m["forest_cols"], nodes, m["psi"], m["limit"])
-        booster = TreeEnsemble(GBTClassificationModel.load(f"{path}/booster"), [*pre.names, SCORE_FEATURE])
+        booster = TreeEnsemble(NodeTrees.load(spark, f"{path}/booster"), [*pre.names, SCORE_FEATURE])
         return cls(pre, forest, m["augment_scaled"], stats(m["aug_scale"]), booster)

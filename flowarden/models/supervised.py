@@ -2,54 +2,38 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import col
-from flowarden.session import materialise
-
-VECTOR = "__features"
-BINS = 256  # candidate thresholds per feature
-CARRIED_ROUNDS = 10
-
-
-def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=VECTOR, handleInvalid="keep").transform(df)
+from flowarden.models.histogram import TASK_ROWS, NodeTrees, fit_boosted, fit_forest, fit_stumps
+from flowarden.session import spread
 
 
 @dataclass
 class TreeEnsemble:
-    """A fitted tree-ensemble classifier of the ML library with its input columns."""
+    """Fitted trees with their input columns."""
 
-    model: object
+    model: NodeTrees
     cols: list[str]
 
     def predict(self, df: DataFrame, prob: str = "prob", pred: str = "pred") -> DataFrame:
-        out = self.model.transform(assemble(df, self.cols))
-        out = out.withColumns({prob: vector_to_array("probability")[1], pred: F.col("prediction").cast("int")})
-        return out.drop(VECTOR, "rawPrediction", "probability", "prediction")
-
-
-def _training_table(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    return assemble(df, cols).select(VECTOR, F.col(label).cast("double").alias("__y"))
+        inputs = [col(c).cast("double") for c in self.cols]
+        out = spread(df).withColumn(prob, self.model.probability(df.sparkSession, inputs))
+        return out.withColumn(pred, F.when(F.col(prob) > 0.5, 1).otherwise(0))
 
 
-def fit_random_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 30, seed: int = 42) -> TreeEnsemble:
-    """``depth`` 30 is the most the ML library grows."""
-    est = RandomForestClassifier(featuresCol=VECTOR, labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed, maxBins=BINS, maxMemoryInMB=1024)
-    return TreeEnsemble(est.fit(_training_table(df, cols, label)), list(cols))
+def fit_random_forest(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, seed: int = 42, most_rows: int = TASK_ROWS) -> TreeEnsemble:
+    """Fully grown trees on bootstrap draws of at most ``most_rows`` rows."""
+    return TreeEnsemble(fit_forest(df, cols, label, trees, seed, most_rows), list(cols))
 
 
-def fit_boosted_trees(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42) -> TreeEnsemble:
-    est = GBTClassifier(featuresCol=VECTOR, labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=BINS, maxMemoryInMB=1024)
-    return TreeEnsemble(est.fit(_training_table(df, cols, label)), list(cols))
+def fit_boosted_trees(df: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 6, rate: float = 0.1, task_rows: int = TASK_ROWS) -> TreeEnsemble:
+    """Second-order boosting with ridge-regularised leaves; nothing in it is drawn at random."""
+    return TreeEnsemble(fit_boosted(df, cols, label, trees, depth, rate, task_rows=task_rows), list(cols))
 
 
 @dataclass
@@ -72,40 +56,6 @@ class AdaBoostModel:
         return df.withColumn(prob, p).withColumn(pred, F.when(F.col(prob) > 0.5, 1).otherwise(0))
 
 
-def fit_adaboost(df: DataFrame, cols: Sequence[str], label: str, rounds: int = 50, rate: float = 1.0, seed: int = 42) -> AdaBoostModel:
-    """SAMME on depth-one trees (Zhu et al. 2009).
-
-    A row's weight is a function of its features and label through the stumps so far: an expression over the
-    stored training table. Every ``CARRIED_ROUNDS`` rounds it is stored as a column, so the expression stays short.
-    """
-    plain = [f"x{i}" for i in range(len(cols))]
-    table = df.select(*[col(c).cast("double").alias(p) for c, p in zip(cols, plain)], F.col(label).cast("double").alias("__y"))
-    table = materialise(table, "boost")
-    vectors = assemble(table, plain).withColumn("__stored", F.lit(1.0))
-    model = AdaBoostModel(list(cols), [])
-    weight = F.col("__stored")
-    for r in range(rounds):
-        if r and r % CARRIED_ROUNDS == 0:
-            vectors = materialise(vectors.withColumn("__stored", weight), "boost")
-            weight = F.col("__stored")
-        weighted = vectors.withColumn("__w", weight)
-        tree = DecisionTreeClassifier(featuresCol=VECTOR, labelCol="__y", weightCol="__w", maxDepth=1, maxBins=BINS, seed=seed + r).fit(weighted)
-        root = tree._java_obj.rootNode()
-        if tree.numNodes == 1:
-            if not model.stumps:
-                model.stumps.append((0, math.inf, root.prediction(), root.prediction(), 1.0))
-            break
-        f, cut = root.split().featureIndex(), root.split().threshold()
-        left, right = root.leftChild().prediction(), root.rightChild().prediction()
-        miss = AdaBoostModel._vote(F.col(plain[f]), cut, left, right) != F.col("__y")
-        wrong, total = weighted.agg(F.sum(F.when(miss, F.col("__w"))), F.sum("__w")).first()
-        err = (wrong or 0.0) / total
-        if err <= 0:
-            model.stumps = [(f, cut, left, right, 1.0)]
-            break
-        if err >= 0.5:
-            break
-        alpha = rate * math.log((1 - err) / err)
-        model.stumps.append((f, cut, left, right, alpha))
-        weight = weight * F.when(miss, F.lit(math.exp(alpha))).otherwise(F.lit(1.0))
-    return model
+def fit_adaboost(df: DataFrame, cols: Sequence[str], label: str, rounds: int = 50, rate: float = 1.0, task_rows: int = TASK_ROWS) -> AdaBoostModel:
+    """SAMME on depth-one trees."""
+    return AdaBoostModel(list(cols), fit_stumps(df, cols, label, rounds, rate, task_rows))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+CONCURRENT = 4  # jobs a driver keeps going at the same time
+
 _owner: ContextVar[str] = ContextVar("owner", default="")
 
 
@@ -22,6 +27,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, name: str = "flow
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
@@ -79,6 +85,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def concurrently(spark: SparkSession, steps: Sequence[Callable[[], T]], most: int = CONCURRENT) -> list[T]:
+    """The results of independent steps, in order, with up to ``most`` of them submitting jobs at the same time.
+
+    Model fits are chains of small jobs that leave most of a cluster idle. Every step runs in a driver thread with its
+    own scheduler pool, so under fair scheduling a long one does not hold up the others; intermediates keep their owner.
+    """
+
+    def run(at: int, step: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"step-{at % most}")
+        try:
+            return step()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(most, len(steps)))) as pool:
+        started = [pool.submit(copy_context().run, run, at, step) for at, step in enumerate(steps)]
+        return [s.result() for s in started]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small under-split table over all cores before CPU-heavy work.
 
