@@ -12,10 +12,11 @@ from checks.exact import BUCKET, CORE, CORE_NAMES, EXACT, FIVE_W, TS30, conn, co
 from checks.views import FLOW_HEADERS, oracle, raw_flows, view
 from flowarden.functions import scalars as S
 from flowarden.models.attribution import Attributor
-from flowarden.models.compare import compare_models, cross_validate
+from flowarden.models.compare import ADABOOST, ALL_MODELS, BOOSTED, FOREST, ISOLATION, compare_models, cross_validate
+from flowarden.models.histogram import MEAN, NodeTrees, fit_boosted
 from flowarden.models.hybrid import HybridDetector
 from flowarden.models.iforest import IsolationForest, IsolationForestModel
-from flowarden.models.supervised import fit_adaboost, fit_boosted_trees, fit_random_forest
+from flowarden.models.supervised import TreeEnsemble, fit_adaboost, fit_boosted_trees, fit_random_forest
 from flowarden.operators import alerts as A
 from flowarden.operators import evaluate as E
 from flowarden.operators import history as H
@@ -229,6 +230,58 @@ def _(s, d):
     return hand_forest().mean_path_length(core(s, d)).select("flow_id", "mean_path")
 
 
+STEPS_SQL = " SELECT flow_id, n.depth + 1 AS step, w.node_id AS node, CASE n.feature WHEN 0 THEN 'total_pkts' ELSE 'syn_flag' END AS feature, CAST(n.threshold AS DOUBLE) AS threshold, CASE n.feature WHEN 0 THEN total_pkts ELSE syn_flag END AS value, " + (
+    "CASE WHEN CASE n.feature WHEN 0 THEN total_pkts ELSE syn_flag END <= n.threshold THEN 'LEFT' ELSE 'RIGHT' END AS direction "
+    "FROM walk w JOIN nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE n.feature >= 0 AND w.tree_id = 0")
+
+
+@exact("m4_hand_trace", oracle(["raw_flows"], WALK + STEPS_SQL, recursive=True))
+def _(s, d):
+    return hand_forest().trace_paths(core(s, d), "flow_id")
+
+
+@exact("a29_splits_match_leaves", f"SELECT CAST(t AS INT) AS tree_id, TRUE AS one_less FROM (SELECT unnest(range({FOREST_TREES})) AS t)")
+def _(s, d):
+    """The splits counted per feature add up to one less than the leaves of the tree."""
+    m = forest(s, d)
+    leaves = m.node_table(s).where("feature < 0").groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves"))
+    counted = m.split_counts(s).groupBy("tree_id").agg(F.sum("splits").alias("splits"))
+    return leaves.join(counted, "tree_id").select("tree_id", (F.col("splits") + 1 == F.col("leaves")).alias("one_less"))
+
+
+# The same two trees as a voting forest: what a random forest's node table does is then known in SQL.
+HAND_VOTES = {(0, 2): 0.9, (0, 3): 0.1, (0, 4): 0.6, (1, 1): 0.2, (1, 2): 1.0}
+VOTES_SQL = ", votes AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, CAST({v} AS DOUBLE))" for (t, n), v in HAND_VOTES.items()) + """) AS t(tree_id, node_id, value))
+SELECT flow_id, avg(v.value) AS prob, CAST(CASE WHEN avg(v.value) > 0.5 THEN 1 ELSE 0 END AS INT) AS pred FROM walk w JOIN votes v ON v.tree_id = w.tree_id AND v.node_id = w.node_id GROUP BY flow_id"""
+
+
+@exact("m5_hand_forest", oracle(["raw_flows"], WALK + VOTES_SQL, recursive=True))
+def _(s, d):
+    rows = [(t, n, f, cut, left, right, HAND_VOTES.get((t, n), 0.0), float(size)) for t, n, f, cut, left, right, size, _ in HAND_NODES]
+    nodes = pd.DataFrame(rows, columns=["treeID", "id", "feature", "threshold", "left", "right", "value", "cover"])
+    return TreeEnsemble(NodeTrees(nodes, MEAN), ["total_pkts", "syn_flag"]).predict(core(s, d)).select("flow_id", "prob", "pred")
+
+
+# Two rounds of second-order boosting with one split each, followed in SQL: every (feature, cut) is tried on all rows.
+def _round_sql(i: int) -> str:
+    p = f"(1 / (1 + exp(-f{i})))"
+    return f"""
+g{i} AS (SELECT x.flow_id, y, a, b, f{i}, {p} - y AS g, {p} * (1 - {p}) AS h FROM x JOIN s{i} ON s{i}.flow_id = x.flow_id),
+l{i} AS (SELECT 0 AS f, a AS cut, sum(g) AS g, sum(h) AS h FROM g{i} GROUP BY a UNION ALL SELECT 1, b, sum(g), sum(h) FROM g{i} GROUP BY b),
+c{i} AS (SELECT f, cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS g, sum(h) OVER (PARTITION BY f) AS h, max(cut) OVER (PARTITION BY f) AS top
+    FROM l{i} WINDOW w AS (PARTITION BY f ORDER BY cut)),
+b{i} AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM c{i}
+    WHERE cut < top AND hl >= 1 AND h - hl >= 1 ORDER BY gain DESC, f, cut LIMIT 1),
+s{i + 1} AS (SELECT flow_id, f{i} - 0.5 * CASE WHEN CASE b{i}.f WHEN 0 THEN a ELSE b END <= b{i}.cut THEN b{i}.gl / (b{i}.hl + 1) ELSE (b{i}.g - b{i}.gl) / (b{i}.h - b{i}.hl + 1) END AS f{i + 1} FROM g{i}, b{i})"""
+
+
+@exact("m7_two_rounds", oracle(["raw_flows"], CORE + ", x AS (SELECT flow_id, y, least(total_pkts, 20) AS a, syn_flag AS b FROM core), s0 AS (SELECT flow_id, CAST(0 AS DOUBLE) AS f0 FROM x),"
+    + ",".join(map(_round_sql, (0, 1))) + " SELECT flow_id, 1 / (1 + exp(-f2)) AS prob FROM s2"))
+def _(s, d):
+    rows = core(s, d).select("flow_id", "y", F.least("total_pkts", F.lit(20.0)).alias("a"), F.col("syn_flag").alias("b"))
+    return TreeEnsemble(fit_boosted(rows, ["a", "b"], "y", trees=2, depth=1, rate=0.5), ["a", "b"]).predict(rows).select("flow_id", "prob")
+
+
 # Labels by a rule: a classifier that learns at all must find it on every row of the table.
 RULE_SQL = oracle(["raw_flows"], CORE + " SELECT flow_id, CASE WHEN total_pkts > 12 THEN 1 ELSE 0 END AS pred FROM core")
 
@@ -467,6 +520,77 @@ def _(s, d):
     return ST.algorithm_comparison(*classes(s, d), "flow_id")
 
 
+def judged_sql(models: list[str], per_class: int, fractions: tuple[float, ...], sets: dict[str, str]) -> str:
+    """Rows of each class that every model is judged on, by evaluation set (an expression of all, of the sample, and of cuts c1, c2)."""
+    cuts = ", ".join(f"CAST(round(m * CAST({f} AS DOUBLE)) AS BIGINT) AS c{i + 1}" for i, f in enumerate(fractions))
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS eval_set, y, {rows} AS n FROM k" for name, rows in sets.items())
+    names = ", ".join(f"('{m}')" for m in models)
+    return oracle(["raw_flows"], f"""c AS (SELECT label AS y, count(*) AS n, least(count(*), {per_class}) AS m FROM raw_flows GROUP BY label), k AS (SELECT *, {cuts} FROM c), e AS ({parts})
+SELECT model, eval_set, CAST(sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS BIGINT) AS normal, CAST(sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS BIGINT) AS attack
+FROM e, (SELECT * FROM (VALUES {names}) AS t(model)) GROUP BY model, eval_set""")
+
+
+@exact("q8_judged_rows", judged_sql(list(ALL_MODELS), 10_000, (0.6, 0.8), {"test": "c2 - c1", "unseen": "n - c2"}))
+def _(s, d):
+    return cells(ST.rigorous_eval(*classes(s, d), "flow_id")["metrics"], ["model", "eval_set"])
+
+
+@exact("q8_fold_rows", oracle(["raw_flows"], """t AS (SELECT label, CAST(round(least(count(*), 10000) * CAST(0.6 AS DOUBLE)) AS BIGINT) AS m FROM raw_flows GROUP BY label)
+SELECT f AS fold, CAST(sum(CASE WHEN label = 0 THEN (m - f + 4) // 5 ELSE 0 END) AS BIGINT) AS normal, CAST(sum(CASE WHEN label = 1 THEN (m - f + 4) // 5 ELSE 0 END) AS BIGINT) AS attack
+FROM t, (SELECT CAST(unnest(range(5)) AS INT) AS f) GROUP BY f"""))
+def _(s, d):
+    return cells(ST.rigorous_eval(*classes(s, d), "flow_id")["folds"], ["fold"])
+
+
+@modelled("q8_top_features")
+def _(s, d):
+    return ST.rigorous_eval(*classes(s, d), "flow_id")["top_features"]
+
+
+@exact("q10_judged_rows", judged_sql([ISOLATION, ADABOOST, BOOSTED, FOREST], 10_000, (0.8,), {"test": "m - c1", "unseen": "n - m"}))
+def _(s, d):
+    return cells(ST.algorithm_comparison(*classes(s, d), "flow_id"), ["model", "eval_set"])
+
+
+@modelled("q5_best_alerts")
+def _(s, d):
+    return ST.flow_report(*classes(s, d), "flow_id")["alerts"].select("flow_id", "timestamp", "type", "severity", "if_score")
+
+
+@modelled("q5_series")
+def _(s, d):
+    return ST.flow_report(*classes(s, d), "flow_id")["series"]
+
+
+@exact("q5_judged_rows", oracle(["raw_flows"], "SELECT CAST(sum(1 - label) AS BIGINT) AS normal, CAST(sum(label) AS BIGINT) AS attack FROM raw_flows"))
+def _(s, d):
+    return cells(ST.flow_report(*classes(s, d), "flow_id")["confusion"], [])
+
+
+def study_tables(s, d):
+    return ST.dataset_comparison(*classes(s, d), "flow_id", RAW_FEATURES)
+
+
+CLEAN_SQL = "v AS (" + " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, label AS class, CASE WHEN {q} IS NULL OR isnan({q}) OR abs({q}) = CAST('inf' AS DOUBLE) THEN 0 ELSE greatest({q}, 0) END AS v FROM raw_flows"""
+    for f in RAW_FEATURES for q in [f"CAST({[c for c, h in FLOW_HEADERS.items() if h == f][0]} AS DOUBLE)"]
+) + ")"
+
+
+@exact("q6_cohens_d", oracle(["raw_flows"], CLEAN_SQL + """,
+k AS (SELECT feature, avg(v) FILTER (class = 1) AS m1, avg(v) FILTER (class = 0) AS m0, stddev_pop(v) FILTER (class = 1) AS s1, stddev_pop(v) FILTER (class = 0) AS s0 FROM v GROUP BY feature)
+SELECT feature, (m1 - m0) / (sqrt((s1 * s1 + s0 * s0) / 2) + 1e-9) AS cohens_d FROM k"""))
+def _(s, d):
+    return study_tables(s, d)["cohens_d"].select("feature", "cohens_d")
+
+
+for table_name in ("roc", "pr", "kde"):
+
+    @modelled(f"q6_{table_name}")
+    def _(s, d, table_name=table_name):
+        return study_tables(s, d)[table_name]
+
+
 @modelled("q11_threat_report")
 def _(s, d):
     full, _ = TR.threat_report_data(traffic(s, d)[1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from flowarden.functions.scalars import CORE_FEATURES, FLOW_BASELINE, classify_flow, clean_inf, col, flag_to_label
 from flowarden.models.attribution import Attributor
 from flowarden.models.compare import ADABOOST, ALL_MODELS, BOOSTED, FOREST, ISOLATION, compare_models, cross_validate
+from flowarden.models.hybrid import HybridDetector
 from flowarden.models.iforest import IsolationForest
 from flowarden.operators import evaluate as E
 from flowarden.operators.alerts import baseline_stats, bucket_best, with_baseline
@@ -25,36 +28,41 @@ from flowarden.sources.tables import KDD_CATEGORICAL
 
 @dataclass
 class Study:
-    """The stored scored rows and the result tables by name."""
+    """The stored scored rows and the result tables by name; a table that needs fits of its own is made when asked for."""
 
     scored: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
+        if callable(self.tables[name]):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
 
 
 def _balanced(both: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """At most ``n`` rows of each class, drawn from all of them: what a model is fitted on."""
+    """At most ``n`` rows of each class, drawn from all of them: what a classifier is fitted on."""
     return materialise(sample_per_class(both, n, seed, key, "y"), "sample")
 
 
-def _forest_scores(df: DataFrame, features: list[str], key: str, share: float, trees: int, seed: int, n: int) -> DataFrame:
-    """All rows, stored, with if_score, if_label and pred. Scaling and forest are fitted on ``n`` rows of each class."""
+def _forest_scores(df: DataFrame, features: list[str], key: str, share: float, trees: int, seed: int, n: int | None) -> DataFrame:
+    """All rows, stored, with if_score, if_label and pred. Scales come from all rows.
+
+    The forest takes its own bounded sample of all rows, or, if ``n`` is given, of ``n`` rows of each class.
+    """
     scaled = {f: f"z{i}" for i, f in enumerate(features)}
     names = list(scaled.values())
-    sample = _balanced(df, n, key, seed)
-    scale = {scaled[f]: e for f, e in StandardScale.fit(sample, features).expressions().items()}
-    forest = IsolationForest(trees, seed=seed).fit(sample.withColumns(scale), names, key)
+    scale = {scaled[f]: e for f, e in StandardScale.fit(df, features).expressions().items()}
+    rows = df if n is None else _balanced(df, n, key, seed)
+    forest = IsolationForest(trees, seed=seed).fit(rows.withColumns(scale), names, key)
     scored = materialise(forest.score(df.withColumns(scale)).drop(*names), "scored")
     flagged = E.flag_by_contamination(scored, share)
     return flagged.withColumns({"pred": flag_to_label("if_label"), "score": -F.col("if_score")})
 
 
-def flow_report(attack: DataFrame, normal: DataFrame, key: str, n: int = 6000, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
+def flow_report(attack: DataFrame, normal: DataFrame, key: str, n: int | None = None, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
     """All flows, shuffled on a one-day clock: typed alerts, best per half hour, quality, series.
 
-    ``n`` rows of each class fit the model; everything else covers every row.
+    Every statistic covers every row; ``n`` bounds the rows of each class that the forest draws from.
     """
     both = label_union(attack, normal, "y").withColumn("__h", hash_order(key, seed))
     timed = synth_timestamps(both, ["__h", key])
@@ -75,8 +83,8 @@ def flow_report(attack: DataFrame, normal: DataFrame, key: str, n: int = 6000, s
     )
 
 
-def dataset_comparison(attack: DataFrame, normal: DataFrame, key: str, features: list[str], n: int = 20_000, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
-    """Forest quality on all rows plus the class-difference tables behind the charts; ``n`` rows of each class fit it."""
+def dataset_comparison(attack: DataFrame, normal: DataFrame, key: str, features: list[str], n: int | None = None, share: float = 0.40, trees: int = 200, seed: int = 42) -> Study:
+    """Forest quality plus the class-difference tables behind the charts, all over every row; ``n`` as in ``flow_report``."""
     both = label_union(attack, normal, "y")
     clean = materialise(both.select(col(key), "y", *[clean_inf(f, 0, True).alias(f) for f in features]), "clean")
     scored = _forest_scores(clean, features, key, share, trees, seed, n)
@@ -91,21 +99,18 @@ def dataset_comparison(attack: DataFrame, normal: DataFrame, key: str, features:
 
 
 def all_feature_run(
-    attack: DataFrame, normal: DataFrame, key: str, baseline: DataFrame | None = None, n: int = 6000, share: float = 0.40, trees: int = 200, seed: int = 42
+    attack: DataFrame, normal: DataFrame, key: str, baseline: DataFrame | None = None, n: int | None = None, share: float = 0.40, trees: int = 200, seed: int = 42
 ) -> Study:
     """Forest over every usable column, compared with a baseline (metric, value) table.
 
-    Medians, skewness, scaling and forest are fitted on ``n`` rows of each class; all rows are scored and reported.
+    Medians, variances, skewness and scales come from all rows, and all are scored; ``n`` as in ``flow_report``.
     """
     both = label_union(attack, normal, "y")
-    sample = _balanced(both, n, key, seed)
     features = feature_columns(both, [key, "y", "label"])
-    imputer = MedianImputer.fit(sample, features)
-    sample = imputer.transform(sample)
-    constant = set(zero_variance_columns(sample, features))
+    filled = materialise(MedianImputer.fit(both, features).transform(both), "filled")
+    constant = set(zero_variance_columns(filled, features))
     features = [f for f in features if f not in constant]
-    skew = SkewLog1p.fit(sample, features)
-    x = materialise(skew.transform(imputer.transform(both)).drop(*constant), "features")
+    x = materialise(SkewLog1p.fit(filled, features).transform(filled).drop(*constant), "features")
     scored = _forest_scores(x, features, key, share, trees, seed, n)
     tables = {
         "report": E.classification_report(scored), "best_threshold": E.best_f1_threshold(scored), "histogram": E.histogram(scored, "if_score"),
@@ -131,13 +136,24 @@ def rigorous_eval(
     split = materialise(stratified_split(both, [0.6, 0.2, 0.2], "y", key, seed), "split")
     train, test, unseen = (split.where(F.col("split") == i) for i in range(3))
     unseen = unseen.drop("split").unionByName(unused_rows(whole, split, key))
-    folds, summary = cross_validate(train, features, k, key=key, trees=trees, seed=seed)
-    metrics, hybrid = compare_models(
-        train, {"test": test, "unseen": unseen}, features, key=key, forest_trees=forest_trees, trees=trees, rounds=rounds, seed=seed, augment_scaled=False
-    )
-    attribute = Attributor(split.sparkSession, hybrid.booster.model, hybrid.input_names, hybrid.feature_names)
-    impacts = attribute.transform(hybrid.transform(test, keep_inputs=True)).select(F.inline("contributions"))
-    return Study(split, {"folds": folds, "cv": summary, "metrics": metrics, "top_features": E.global_attribution(impacts)})
+
+    @cache
+    def folds() -> tuple[DataFrame, DataFrame]:
+        return cross_validate(train, features, k, key=key, trees=trees, seed=seed)
+
+    @cache
+    def compared() -> tuple[DataFrame, HybridDetector]:
+        return compare_models(
+            train, {"test": test, "unseen": unseen}, features, key=key, forest_trees=forest_trees, trees=trees, rounds=rounds, seed=seed, augment_scaled=False
+        )
+
+    def top_features() -> DataFrame:
+        hybrid = compared()[1]
+        attribute = Attributor(split.sparkSession, hybrid.booster.model, hybrid.input_names, hybrid.feature_names)
+        impacts = attribute.transform(hybrid.transform(test, keep_inputs=True)).select(F.inline("contributions"))
+        return E.global_attribution(impacts)
+
+    return Study(split, {"folds": lambda: folds()[0], "cv": lambda: folds()[1], "metrics": lambda: compared()[0], "top_features": top_features})
 
 
 def kdd_eval(train: DataFrame, test: DataFrame, key: str, forest_trees: int = 100, trees: int = 100, rounds: int = 100, seed: int = 42, models=ALL_MODELS) -> DataFrame:
