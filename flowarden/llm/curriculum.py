@@ -111,13 +111,27 @@ def training_time(done: Column, tilt: Column) -> Column:
     return F.when(straight, done).otherwise((tilt - root) / (2 * F.when(straight, F.lit(1.0)).otherwise(bend)))
 
 
-def positions(planned: DataFrame, tilt: tuple = TILT) -> DataFrame:
-    """One row per copy the mix holds, with ``copy`` (from 0) and ``position`` in 0..1."""
+def position_of(copy: Column, tilt: tuple = TILT) -> Column:
+    """Training position in 0..1 of the given copy (from 0) of a planned row."""
     tilts = F.array(*[F.lit(float(x)) for x in tilt])
     own = F.element_at(tilts, (F.col("rank") % len(tilt)).cast("int") + 1)
+    done = F.least((F.col("begins") + copy * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    return training_time(done, own)
+
+
+def positions(planned: DataFrame, tilt: tuple = TILT) -> DataFrame:
+    """One row per copy the mix holds, with ``copy`` (from 0) and ``position`` in 0..1."""
     copies = planned.where("passes > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)))
-    done = F.least((F.col("begins") + F.col("copy") * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    return copies.withColumn("position", training_time(done, own))
+    return copies.withColumn("position", position_of(F.col("copy"), tilt))
+
+
+def spans(planned: DataFrame, tilt: tuple = TILT) -> DataFrame:
+    """Planned rows with the positions of their first and last copy (null if the mix holds none), range-sorted by the first."""
+    held = F.col("passes") > 0
+    placed = planned.withColumns({
+        "first_position": F.when(held, position_of(F.lit(0), tilt)), "last_position": F.when(held, position_of(F.col("passes") - 1, tilt)),
+    })
+    return placed.repartitionByRange("first_position", "begins").sortWithinPartitions("first_position", "begins")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, tilt: tuple = TILT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

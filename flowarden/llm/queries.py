@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +59,27 @@ f AS (SELECT *, coalesce(CAST(sum(3 * source_size) OVER b AS BIGINT), 0) AS capp
     WINDOW b AS (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min(CAST(total - capped AS DOUBLE) / weights, nth) FILTER (CAST(total - capped AS DOUBLE) / weights <= level) AS share FROM f),
 t AS (SELECT source, rank, source_size, CASE WHEN weight * share > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * share END AS target FROM g, l),
-d AS (SELECT w.doc_id, w.size, t.source_size, t.target,
+d AS (SELECT w.doc_id, w.size, t.rank, t.source_size, t.target,
     CAST(sum(w.size) OVER (PARTITION BY w.source ORDER BY substr(h, 1, 8), w.doc_id, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - w.size AS begins
-    FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-    CAST(CASE WHEN size = 0 THEN 0 ELSE least(3, floor(target / source_size) + CASE WHEN begins + size / CAST(2 AS DOUBLE) <= target - floor(target / source_size) * source_size THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
-FROM d"""
+    FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(3, floor(target / source_size) + CASE WHEN begins + size / CAST(2 AS DOUBLE) <= target - floor(target / source_size) * source_size THEN 1 ELSE 0 END) END AS passes
+FROM d),
+p AS (SELECT *, [TILTS][rank % N_TILTS + 1] AS tilt, least(begins / target, 1) AS done_first, least((begins + (passes - 1) * source_size) / target, 1) AS done_last FROM m)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(passes * size AS BIGINT) AS taken,
+    CASE WHEN passes > 0 THEN TIME(done_first) END AS first_position, CASE WHEN passes > 0 THEN TIME(done_last) END AS last_position
+FROM p"""
+# The time t at which a schedule that runs evenly from tilt to 2 - tilt has asked for tilt * t - (tilt - 1) * t^2 = done.
+MIX_SQL = re.sub(
+    r"TIME\((\w+)\)",
+    r"CASE WHEN abs(tilt - 1) < 1e-9 THEN \1 ELSE (tilt - sqrt(greatest(tilt * tilt - 4 * (tilt - 1) * \1, 0))) / (2 * CASE WHEN tilt = 1 THEN 1 ELSE tilt - 1 END) END",
+    MIX_SQL.replace("N_TILTS", str(len(curriculum.TILT))).replace("TILTS", ", ".join(f"CAST({t} AS DOUBLE)" for t in curriculum.TILT)),
+)
 
 
 @query("op9_curriculum_mix", MIX_SQL)
 def _(spark, d):
-    planned = curriculum.plan(table(spark, d, "documents"), ["doc_id"])
-    return planned.select(F.col("__0").alias("doc_id"), "size", "source_size", "target", "taken")
+    placed = curriculum.spans(curriculum.plan(table(spark, d, "documents"), ["doc_id"]))
+    return placed.select(F.col("__0").alias("doc_id"), "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 QUALITY_SQL = r"""

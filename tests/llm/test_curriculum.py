@@ -80,3 +80,12 @@ def test_front_loaded_sources_come_earlier(spark, rows):
     placed = C.positions(C.plan(docs(spark, rows), ["doc_id"])).groupBy("rank").agg(F.avg("position").alias("p")).collect()
     mean = {r["rank"]: r["p"] for r in placed}
     assert mean[0] < mean[1] < mean[2]
+
+
+def test_spans_are_first_and_last_copies(spark, rows):
+    planned = C.plan(docs(spark, rows), ["doc_id"])
+    copies = C.positions(planned).groupBy("__0", "begins", "rank").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("copy").alias("n"))
+    want = sorted((r["__0"] or 0, r.rank, r.begins, r.n, r.a, r.b) for r in copies.collect())
+    spans = C.spans(planned).collect()
+    assert sorted((r["__0"] or 0, r.rank, r.begins, r.passes, r.first_position, r.last_position) for r in spans if r.passes) == want
+    assert len(spans) == planned.count() and all(r.first_position is None and r.last_position is None for r in spans if not r.passes)
