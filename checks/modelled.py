@@ -27,6 +27,7 @@ from flowarden.plans import triage as TR
 from flowarden.session import materialise, scratch_path
 from flowarden.sources import captures as C
 from flowarden.sources import tables as SRC
+from flowarden.streaming import keyed as K
 from flowarden.streaming import packets as P
 
 MODELLED: dict = {}
@@ -409,18 +410,34 @@ def _(s, d):
     return s.read.parquet(f"{online_run(s, d)}/history").drop("batch", "shap_explanation")
 
 
-@exact("t8_online_episodes", oracle(["anomaly_rows"], episodes_sql("anomaly_rows", "event_id")
-    + " SELECT a.event_id, a.type, a.timestamp, a.if_score FROM anomaly_rows a JOIN kept ON kept.type = a.type AND kept.k = CAST(a.event_id AS VARCHAR)", recursive=True))
-def _(s, d):
-    path, out = scratch_path(s, "alerts"), scratch_path(s, "episodes")
+EPISODES_SQL = oracle(["anomaly_rows"], episodes_sql("anomaly_rows", "event_id")
+    + " SELECT a.event_id, a.type, a.timestamp, a.if_score FROM anomaly_rows a JOIN kept ON kept.type = a.type AND kept.k = CAST(a.event_id AS VARCHAR)", recursive=True)
+
+
+def alert_files(s, d):
+    """The alerts as files a stream can follow, closed by a row far ahead."""
+    path = scratch_path(s, "alerts")
     alerts = view(s, d, "anomaly_rows").select("event_id", "type", F.col("timestamp").cast("timestamp").alias("timestamp"), "if_score", "src_ip")
     alerts.write.parquet(path)
     P.append_last_instant(alerts, path)
-    P.online_episodes(s.readStream.schema(alerts.schema).parquet(path), out, tie=("src_ip", "event_id")).awaitTermination()
+    return s.readStream.schema(alerts.schema).parquet(path)
+
+
+@exact("t8_online_episodes", EPISODES_SQL)
+def _(s, d):
+    out = scratch_path(s, "episodes")
+    P.online_episodes(alert_files(s, d), out, tie=("src_ip", "event_id")).awaitTermination()
     done = P.read_online_episodes(s, out)
     return done.select("event_id", "type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "if_score")
 
 
+@exact("t8_keyed_episodes", EPISODES_SQL)
+def _(s, d):
+    K.keep_state_on_disk(s)
+    done = drain(K.keyed_episodes(alert_files(s, d), tie=("src_ip", "event_id")), "keyed")
+    return done.select("event_id", "type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "if_score")
+
+
 def cells(metrics, by):
     """Rows a model was judged on, by true class: the cells of its confusion table added up."""
     return metrics.select(*by, (F.col("tn") + F.col("fp")).cast("long").alias("normal"), (F.col("fn") + F.col("tp")).cast("long").alias("attack"))

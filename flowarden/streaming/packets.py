@@ -14,7 +14,7 @@ from flowarden.functions.scalars import DEFAULT_DST_IP, DEFAULT_SRC_IP
 from flowarden.operators.alerts import EPISODE_GAP, episodes
 from flowarden.operators.flows import assemble_flows, assemble_flows_3tuple
 from flowarden.operators.history import last_n_snapshots
-from flowarden.session import materialise
+from flowarden.session import materialise, owned_intermediates
 
 # Payload fields and their defaults, window length, list sizes.
 PAYLOAD_SCHEMA = (
@@ -184,11 +184,27 @@ def ranked_alerts(scored: DataFrame, k: int = TOP_ALERTS) -> DataFrame:
 
 
 def per_window_sink(flows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
-    """Run ``handle`` on the flows of newly closed windows of each micro-batch."""
-    writer = flows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
+    """Run ``handle`` on the flows of newly closed windows of each micro-batch; what it stores in between is deleted after it."""
+
+    def owned(batch: DataFrame, batch_id: int) -> None:
+        with owned_intermediates(batch.sparkSession):
+            handle(batch, batch_id)
+
+    writer = flows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(owned)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def lowest_per_instant(alerts: DataFrame, lateness: str, tie: Sequence[str]) -> DataFrame:
+    """Of the alerts of one type and instant only the lowest-scoring can matter; released once the watermark has passed."""
+    others = [c for c in alerts.columns if c not in ("type", "timestamp")]
+    return (
+        alerts.withWatermark("timestamp", lateness)
+        .groupBy("type", "timestamp")
+        .agg(F.min_by(F.struct(*others), F.struct("if_score", *tie)).alias("row"))
+        .select("type", "timestamp", "row.*")
+    )
+
+
 def online_episodes(
     alerts: DataFrame, out: str, gap_seconds: int = EPISODE_GAP, lateness: str = "1 minute", tie: Sequence[str] = ("src_ip",), once: bool = True
 ):
@@ -199,12 +215,7 @@ def online_episodes(
     distributed fold as on a table, so a type with most of the alerts is no bottleneck. Batch folders
     are overwritten on retry and each reads only its predecessor's, so a restart repeats nothing.
     """
-    lowest = (
-        alerts.withWatermark("timestamp", lateness)
-        .groupBy("type", "timestamp")
-        .agg(F.min_by(F.struct(*alerts.columns), F.struct("if_score", *tie)).alias("row"))
-        .select("row.*")
-    )
+    lowest = lowest_per_instant(alerts, lateness, tie).select(*alerts.columns)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

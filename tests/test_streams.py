@@ -10,6 +10,7 @@ from checks.modelled import classes, packet_files
 from checks.views import view
 from flowarden.operators.alerts import episodes
 from flowarden.plans import detection
+from flowarden.streaming import keyed
 from flowarden.streaming import packets as P
 
 
@@ -94,6 +95,23 @@ def test_online_episodes_over_several_batches(spark, sf_dir, tmp_path):
     assert got == expect
 
 
+def test_keyed_episodes_over_restarts(spark, sf_dir, tmp_path):
+    keyed.keep_state_on_disk(spark)
+    alerts = view(spark, sf_dir, "anomaly_rows").select("event_id", "type", F.col("timestamp").cast("timestamp").alias("timestamp"), "if_score", "src_ip")
+    src = str(tmp_path / "in")
+    days = [r[0] for r in alerts.select(F.to_date("timestamp").alias("d")).distinct().orderBy("d").collect()]
+    half = len(days) // 2
+    alerts.where(F.to_date("timestamp").isin(days[:half])).coalesce(1).write.parquet(src)
+    stream = keyed.keyed_episodes(spark.readStream.schema(alerts.schema).parquet(src), tie=("src_ip", "event_id"))
+    first = run(stream, str(tmp_path)).count()
+    alerts.where(F.to_date("timestamp").isin(days[half:])).coalesce(1).write.mode("append").parquet(src)
+    P.append_last_instant(alerts, src)
+    stream = keyed.keyed_episodes(spark.readStream.schema(alerts.schema).parquet(src), tie=("src_ip", "event_id"))
+    got = [r["event_id"] for r in run(stream, str(tmp_path)).collect()]
+    assert 0 < first < len(got)
+    assert sorted(got) == sorted(r["event_id"] for r in episodes(alerts, tie=("src_ip", "event_id")).collect())
+
+
 def test_snapshot_grid_fills_quiet_windows(spark):
     rows = [packet(1000), packet(1100)]
     f = P.stream_flows(P.normalise_payload(spark.createDataFrame(rows, P.PAYLOAD_SCHEMA)))
