@@ -31,9 +31,11 @@ SPACE = "▁"
 NO_TEXT_BYTES = re.compile("[\udc80-\udcff]")
 CONTROL = "\ud800"  # stands for a control id until bytes are joined: none are joined across it
 LEADING = re.compile(f"^({CONTROL}*){SPACE}")
-KEPT_PIECES = 200_000  # texts of at most KEPT_CHARS whose ids a worker remembers
+KEPT_PIECES = 450_000  # texts of at most KEPT_CHARS whose ids a worker remembers
 KEPT_CHARS = 32
 KEPT_PAIRS = 1_000_000
+HEAD = 7  # characters of a beginning whose table is kept
+KEPT_HEADS = 150_000
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -48,6 +50,7 @@ class PieceTable(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -69,12 +72,11 @@ class PieceTable(dict):
 
     def _learn(self, names: list[str], plain: list[int], cost: dict[int, float]) -> None:
         """Ranks, the last merge of every token that encodes to itself, and the automaton over these."""
-        import ahocorasick
-
         joined = {c for i in plain if len(names[i]) > 1 for c in names[i]}
         token = {names[i]: i for i in plain if len(names[i]) == 1}
         single = [c for c in sorted(joined) if c not in token]  # characters that only longer tokens hold
         token |= {c: len(names) + k for k, c in enumerate(single)}
+        self.nameless = bool(single)
         self.texts = dict(enumerate(names + single))
         self.size = len(self.texts)
         steps = {c: r for r, c in enumerate(sorted(set(cost.values())))}
@@ -90,15 +92,39 @@ class PieceTable(dict):
                     self.made[a * self.size + b] = i
                     break
         self.pairs.clear()
-        self.automaton = ahocorasick.Automaton()
-        for text, i in token.items():
-            self.automaton.add_word(text, (i, len(text)))
-        self.automaton.make_automaton()
+        self._grow(token)
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", names[i]) for i in longer)
         run = "".join(map(re.escape, sorted(joined - {SPACE})))
         inner = f"[{SPACE}{run}]+" if crossing else f"{SPACE}*[{run}]+|{SPACE}+"
         self.cut = re.compile(f"{inner}|." if joined else ".", re.S).findall
 
+    def _grow(self, token: dict[str, int]) -> None:
+        """Aho-Corasick automaton: steps by character, the longest suffix that is a state too, tokens that end there (longest first, the one of one character apart)."""
+        self.width = [len(self.texts[i]) for i in range(self.size)]
+        self.step: list[dict[str, int]] = [{}]
+        self.fail, ending = [0], [()]
+        for text, i in token.items():
+            state = 0
+            for c in text:
+                state = self.step[state].setdefault(c, len(self.step))
+                if state == len(self.step):
+                    self.step.append({})
+                    self.fail.append(0)
+                    ending.append(())
+            ending[state] = (i,)
+        queue = list(self.step[0].values())
+        for state in queue:
+            for c, child in self.step[state].items():
+                back = self.fail[state]
+                while back and c not in self.step[back]:
+                    back = self.fail[back]
+                self.fail[child] = self.step[back].get(c, 0)
+                queue.append(child)
+            ending[state] += ending[self.fail[state]]
+        # every text ends in a token of one character, the shortest of all
+        self.longer, self.single = [e[:-1] for e in ending], [e[-1] if e else -1 for e in ending]
+        self.heads: dict[str, tuple[tuple[int, ...], int]] = {}
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether the border between two tokens survives when their joined text is encoded."""
         rank, made = self.rank, self.made
@@ -115,40 +141,59 @@ class PieceTable(dict):
                 earlier_than, a = rank[a], self.right[a]
 
     def _tokens(self, piece: str) -> list[int]:
-        last, pairs, size = [-1] * len(piece), self.pairs, self.size
-        width = [0] * len(piece)
-        for end, (token, length) in self.automaton.iter(piece):
-            if last[end] >= 0:
-                continue
-            before = end - length
-            if before >= 0:
+        """Tokens of a text whose characters are all known; tables of beginnings are shared by all texts that begin so."""
+        step, fail, longer, single, width, pairs, size = self.step, self.fail, self.longer, self.single, self.width, self.pairs, self.size
+        head = piece[:HEAD]
+        known = self.heads.get(head)
+        last, state = ([], 0) if known is None else (list(known[0]), known[1])
+        for end in range(len(last), len(piece)):
+            if end == HEAD and known is None:
+                if len(self.heads) >= KEPT_HEADS:
+                    self.heads.clear()
+                self.heads[head] = (tuple(last), state)
+            c = piece[end]
+            after = step[state].get(c)
+            while after is None:
+                state = fail[state]
+                after = step[state].get(c)
+            state = after
+            for token in longer[state]:
+                before = end - width[token]
+                if before < 0:
+                    break
                 key = last[before] * size + token
                 fits = pairs.get(key)
                 if fits is None:
                     if len(pairs) >= KEPT_PAIRS:
                         pairs.clear()
                     fits = pairs[key] = self._compatible(last[before], token)
-                if not fits:
-                    continue
-            last[end], width[end] = token, length
+                if fits:
+                    break
+            else:
+                token = single[state]  # some token always fits, and no other did
+            last.append(token)
         out, at = [], len(piece) - 1
         while at >= 0:
             out.append(last[at])
-            at -= width[at]
+            at -= width[last[at]]
         return out[::-1]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) == 1 and piece not in self.automaton:
-            ids = self.bytes_of(piece)
-        else:
-            ids = self._tokens(piece)
-            if max(ids) >= len(self.surface):
-                ids = [j for i in ids for j in (self.bytes_of(self.texts[i]) if i >= len(self.surface) else (i,))]
-        packed = array("i", ids).tobytes()
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = packed
+        packed = self.older.get(piece)
+        if packed is None:
+            if len(piece) == 1 and piece not in self.step[0]:
+                ids = self.bytes_of(piece)
+            else:
+                ids = self._tokens(piece)
+                if self.nameless and max(ids) >= len(self.surface):
+                    ids = [j for i in ids for j in (self.bytes_of(self.texts[i]) if i >= len(self.surface) else (i,))]
+            packed = array("i", ids).tobytes()
+            if len(piece) > KEPT_CHARS:
+                return packed
+        if len(self) >= KEPT_PIECES:  # what was not met again since the last time goes
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:

@@ -67,9 +67,10 @@ def test_long_texts(table, text):
 def test_bounded_tables_change_nothing(table, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_PIECES", 3)
     monkeypatch.setattr(pieces, "KEPT_PAIRS", 3)
+    monkeypatch.setattr(pieces, "KEPT_HEADS", 1)
     small = pieces.PieceTable(PATH)
     text = "several words, several of them several times: several words"
-    assert ids(small, text) == library.encode(text) and len(small) <= 3 and len(small.pairs) <= 3
+    assert ids(small, text) == library.encode(text) and len(small) <= 3 and len(small.older) <= 3 and len(small.pairs) <= 3
 
 
 def test_columns(spark):
