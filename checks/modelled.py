@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
@@ -26,6 +27,7 @@ from flowarden.plans import studies as ST
 from flowarden.plans import triage as TR
 from flowarden.session import materialise, scratch_path
 from flowarden.sources import captures as C
+from flowarden.sources import ranges as R
 from flowarden.sources import tables as SRC
 from flowarden.streaming import keyed as K
 from flowarden.streaming import packets as P
@@ -74,12 +76,32 @@ def encode_captures(packets):
     return chunked.groupBy("chunk").applyInPandas(encode, "path string, content binary")
 
 
-@exact("s2_decode_captures", oracle(["packets"], "SELECT make_timestamp(CAST(round(time * 1000000) AS BIGINT)) AS timestamp, src_ip, dst_ip, dst_port, protocol, CAST(length AS BIGINT) AS bytes, CASE WHEN protocol = 'TCP' AND (tcp_flags & 4) <> 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, "
-    "CASE WHEN protocol = 'TCP' THEN " + " || ".join(f"CASE WHEN (tcp_flags & {1 << i}) <> 0 THEN '{c}' ELSE '' END" for i, c in enumerate("FSRPAUEC")) + " ELSE '' END AS flags FROM packets WHERE protocol <> 'Other'"))
+CAPTURE_SQL = oracle(["packets"], "SELECT make_timestamp(CAST(round(time * 1000000) AS BIGINT)) AS timestamp, src_ip, dst_ip, dst_port, protocol, CAST(length AS BIGINT) AS bytes, CASE WHEN protocol = 'TCP' AND (tcp_flags & 4) <> 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, "
+    "CASE WHEN protocol = 'TCP' THEN " + " || ".join(f"CASE WHEN (tcp_flags & {1 << i}) <> 0 THEN '{c}' ELSE '' END" for i, c in enumerate("FSRPAUEC")) + " ELSE '' END AS flags FROM packets WHERE protocol <> 'Other'")
+
+
+@exact("s2_decode_captures", CAPTURE_SQL)
 def _(s, d):
     return C.capture_conn_log(C.decode_captures(encode_captures(view(s, d, "packets"))))
 
 
+@exact("s2_capture_ranges", CAPTURE_SQL)
+def _(s, d):
+    """The same packets from capture files, each cut into ranges that several tasks read."""
+    folder = scratch_path(s, "captures")
+
+    def store(batches):
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with open(f"{folder}/{path}.pcap", "wb") as file:
+                    file.write(content)
+            yield pdf[["path"]]
+
+    encode_captures(view(s, d, "packets")).mapInPandas(store, "path string").count()
+    return C.capture_conn_log(R.read_large_captures(s, folder, 256 * 1024))
+
+
 def _flow_columns():
     return ", ".join(f'{c} AS "{h}"' for c, h in FLOW_HEADERS.items())
 
