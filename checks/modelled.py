@@ -85,23 +85,47 @@ def _(s, d):
     return C.capture_conn_log(C.decode_captures(encode_captures(view(s, d, "packets"))))
 
 
-@exact("s2_capture_ranges", CAPTURE_SQL)
-def _(s, d):
-    """The same packets from capture files, each cut into ranges that several tasks read."""
-    folder = scratch_path(s, "captures")
+def store_captures(s, d, folder, share=1.0):
+    """The packets as capture files, of each the first ``share`` of its bytes."""
 
     def store(batches):
         os.makedirs(folder, exist_ok=True)
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 with open(f"{folder}/{path}.pcap", "wb") as file:
-                    file.write(content)
+                    file.write(content[: int(len(content) * share)])
             yield pdf[["path"]]
 
     encode_captures(view(s, d, "packets")).mapInPandas(store, "path string").count()
+
+
+@exact("s2_capture_ranges", CAPTURE_SQL)
+def _(s, d):
+    """The same packets from capture files, each cut into ranges that several tasks read."""
+    folder = scratch_path(s, "captures")
+    store_captures(s, d, folder)
     return C.capture_conn_log(R.read_large_captures(s, folder, 256 * 1024))
 
 
+@exact("s11_capture_stream", CAPTURE_SQL)
+def _(s, d):
+    """Captures followed while they grow: read up to a cut inside a record, then to the end after a restart."""
+    folder, out = scratch_path(s, "growing"), scratch_path(s, "followed")
+    for share in (0.6, 1.0):
+        store_captures(s, d, folder, share)
+        got = drain(R.follow_captures(s, folder, 256 * 1024), "followed", out)
+    return C.capture_conn_log(got)
+
+
+@exact("t1_capture_windows", oracle(["packets"], f"w AS (SELECT {TS30} length FROM packets WHERE protocol <> 'Other') SELECT \"window\", count(*) AS total_packets, CAST(sum(length) AS BIGINT) AS total_bytes FROM w GROUP BY 1"))
+def _(s, d):
+    """Context windows of a bounded capture stream, all closed by the source."""
+    folder = scratch_path(s, "bounded")
+    store_captures(s, d, folder)
+    out = drain(P.window_counts(P.capture_stream(s, folder, bounded=True)), "capture_windows")
+    return out.withColumn("window", F.col("window.start").cast("timestamp_ntz"))
+
+
 def _flow_columns():
     return ", ".join(f'{c} AS "{h}"' for c, h in FLOW_HEADERS.items())
 
@@ -398,10 +422,10 @@ def packet_files(s, d, late: bool = False) -> str:
     return path
 
 
-def drain(stream, label):
-    """Run a stream over what is there and return the table it wrote."""
+def drain(stream, label, out=None):
+    """Run a stream over what is there and return the table it wrote; with the same ``out`` it goes on where it was."""
     s = stream.sparkSession
-    out = scratch_path(s, label)
+    out = out or scratch_path(s, label)
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
     q.awaitTermination()
     return s.read.schema(stream.schema).parquet(out)

@@ -5,6 +5,10 @@ from which a long chain of plausible record headers follows (times near those of
 length). Finding can be deceived by packet contents, so it is proved: a task walks its records up to the first one
 behind its range and compares that place with what the next task finds there. If all agree, the ranges together are
 exactly the sequential walk; if one does not, the read fails and says so. Next-generation captures stay whole.
+
+The same proof serves a stream over captures that still grow. An offset holds, for each file, the end of its last whole
+record. The driver finds it from the file's tail, and the tasks of the batch, which start at the offset before, must
+arrive at exactly that byte.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from flowarden.sources.captures import PACKET_SCHEMA, decode_capture
 
@@ -31,10 +35,14 @@ ORDERS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6),
 
 @dataclass
 class Range(InputPartition):
+    """Records that start in ``low..high`` of the first ``size`` bytes; ``ends`` if a record must end at ``size``."""
+
     path: str
     low: int
     high: int
     size: int
+    base: int = HEADER  # a record is known to start here
+    ends: bool = False
 
 
 def _open(path: str) -> pa.NativeFile:
@@ -56,8 +64,8 @@ def _listed(path: str) -> list[tuple[str, int]]:
 class Walk:
     """Record headers of one classic capture."""
 
-    def __init__(self, file: pa.NativeFile, size: int):
-        self.file, self.size = file, size
+    def __init__(self, file: pa.NativeFile, size: int, base: int = HEADER):
+        self.file, self.size, self.base = file, size, base
         self.head = file.read_at(HEADER, 0)
         self.order, self.ticks = ORDERS[bytes(self.head[:4])]
         self.most = max(struct.unpack_from(self.order + "I", self.head, 16)[0], MOST_CAPTURED)
@@ -71,8 +79,8 @@ class Walk:
 
     def first_from(self, low: int) -> int:
         """Offset of the first record that starts at ``low`` or behind it; the size if there is none."""
-        if low <= HEADER:
-            return min(HEADER, self.size)
+        if low <= self.base:
+            return min(self.base, self.size)
         span = 2 * (16 + self.most)
         data = np.frombuffer(self.file.read_at(span + 16, low), np.uint8)
         if len(data) >= 16:
@@ -94,9 +102,9 @@ class Walk:
     def chain(self, at: int) -> tuple[int, bool]:
         """Plausible records in a row from here, and whether they are ``CHAIN`` or end with the file."""
         for links in range(CHAIN):
-            head = self.file.read_at(16, at)
-            if len(head) < 16:
+            if at + 16 > self.size:
                 return links, at == self.size
+            head = self.file.read_at(16, at)
             words = np.array([struct.unpack(self.order + "4I", head)], np.uint32)
             if not self.plausible(words)[0]:
                 return 0, False
@@ -105,6 +113,18 @@ class Walk:
                 return links + 1, False
         return CHAIN, True
 
+    def last_end(self, known: int = HEADER) -> int:
+        """End of the last whole record: walked from a known end if that is near, else from the file's tail; 0 before there is one."""
+        tail = CHAIN * (16 + self.most)
+        start = known if self.size - known <= tail else self.first_from(self.size - tail)
+        data, at = self.file.read_at(self.size - start, start), 0
+        while at + 16 <= len(data):
+            following = at + 16 + struct.unpack_from(self.order + "I", data, at + 8)[0]
+            if following > len(data):
+                break
+            at = following
+        return start + at if start + at > HEADER else 0
+
 
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -120,32 +140,92 @@ class RangeReader(DataSourceReader):
         return out or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.size:
-            return
-        with _open(partition.path) as file:
-            if partition.low == 0 and partition.high == partition.size:
-                head, start, body = b"", 0, file.read_at(partition.size, 0)
-            else:
-                walk = Walk(file, partition.size)
-                start, head = walk.first_from(partition.low), bytes(walk.head)
-                end = start
-                body = file.read_at(max(0, partition.high - start), start)
-                while end < partition.high:
-                    at = end - start
+        return read_range(partition)
+
+
+class GrowingReader(DataSourceStreamReader):
+    """Packets of classic captures that grow, a batch taking all whole records that are there.
+
+    The offset has one entry for each capture in the folder, so rotated captures should leave it in the end; those that
+    have left are forgotten. A capture that has become shorter, or whose first batch ended inside a record, is an error.
+    With ``closingTime`` the first batch also yields one packet of that time, which lets a bounded stream close its windows.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.step = options["path"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        closing = options.get("closingtime", options.get("closingTime"))
+        self.closing = None if closing is None else float(closing)
+        self.seen: dict[str, tuple[int, int]] = {}  # size and end of each capture when it was last looked at
+
+    def initialOffset(self) -> dict:
+        return {"ends": {}, "closed": 0}
+
+    def latestOffset(self) -> dict:
+        seen = {}
+        for path, size in _listed(self.path):
+            before, end = self.seen.get(path, (0, 0))
+            if size < before:
+                raise ValueError(f"{path}: shorter than before; a capture that is replaced needs another name")
+            if size != before and size >= HEADER:
+                with _open(path) as file:
+                    if bytes(file.read_at(4, 0)) not in ORDERS:
+                        raise ValueError(f"{path}: only classic captures can be followed while they grow")
+                    end = Walk(file, size).last_end(end or HEADER)
+            seen[path] = (size, end)
+        self.seen = seen
+        return {"ends": {path: end for path, (_, end) in seen.items() if end}, "closed": int(self.closing is not None)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, stop in sorted(end["ends"].items()):
+            base = start["ends"].get(path, HEADER)
+            if stop < base:
+                raise ValueError(f"{path}: shorter than before; a capture that is replaced needs another name")
+            cuts = list(range(base, stop, self.step))
+            out += [Range(path, low, high, stop, base, True) for low, high in zip(cuts, [*cuts[1:], stop])]
+        if end["closed"] > start["closed"]:
+            out.append(Range("", 0, 0, 0, ends=True))
+        return out or [Range("", 0, 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.path or not partition.ends:
+            return read_range(partition)
+        empty = {"string": "", "long": 0, "int": 0, "double": 0.0}
+        row = {n: empty[t] for n, t in (c.split() for c in PACKET_SCHEMA.split(", "))} | {"time": self.closing}
+        return iter([pa.RecordBatch.from_pylist([row], SCHEMA)])
+
+
+def read_range(partition: Range) -> Iterator[pa.RecordBatch]:
+    if not partition.size:
+        return
+    with _open(partition.path) as file:
+        if partition.low == 0 and partition.high == partition.size and not partition.ends:
+            head, start, body = b"", 0, file.read_at(partition.size, 0)
+        else:
+            walk = Walk(file, partition.size, partition.base)
+            start, head = walk.first_from(partition.low), bytes(walk.head)
+            end = start
+            body = file.read_at(max(0, partition.high - start), start)
+            while end < partition.high:
+                at = end - start
+                if len(body) - at < 16:
+                    body += file.read_at(walk.most + 16, start + len(body))
                     if len(body) - at < 16:
-                        body += file.read_at(walk.most + 16, start + len(body))
-                        if len(body) - at < 16:
-                            break
-                    end += 16 + struct.unpack_from(walk.order + "I", body, at + 8)[0]
-                if end > start + len(body):
-                    body += file.read_at(end - start - len(body), start + len(body))
-                if partition.high < partition.size and end < partition.size and walk.first_from(partition.high) != end:
-                    raise ValueError(f"{partition.path}: no sure record start near byte {partition.high}; read it with a larger rangeBytes")
-                body = body[: end - start]
-        for packets in decode_capture(head + body):
-            packets.insert(0, "path", partition.path)
-            packets["seq"] += start  # grows along the file, and no two records start in one byte
-            yield pa.RecordBatch.from_pandas(packets, SCHEMA, preserve_index=False)
+                        break
+                end += 16 + struct.unpack_from(walk.order + "I", body, at + 8)[0]
+            if end > start + len(body):
+                body += file.read_at(end - start - len(body), start + len(body))
+            if partition.high < partition.size:
+                astray = end < partition.size and walk.first_from(partition.high) != end
+            else:
+                astray = partition.ends and end != partition.size
+            if astray:
+                raise ValueError(f"{partition.path}: no sure record start near byte {partition.high}; read it with a larger rangeBytes")
+            body = body[: end - start]
+    for packets in decode_capture(head + body):
+        packets.insert(0, "path", partition.path)
+        packets["seq"] += start  # grows along the file, and no two records start in one byte
+        yield pa.RecordBatch.from_pandas(packets, SCHEMA, preserve_index=False)
 
 
 KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
@@ -153,7 +233,7 @@ SCHEMA = pa.schema([(n, KINDS[t]) for n, t in (c.split() for c in PACKET_SCHEMA.
 
 
 class CaptureRanges(DataSource):
-    """``spark.read.format("capture_ranges").option("rangeBytes", n).load(path)``: packets of a capture or a folder of captures."""
+    """``spark.read`` or ``spark.readStream`` ``.format("capture_ranges").option("rangeBytes", n).load(path)``: packets of a capture or a folder of captures."""
 
     @classmethod
     def name(cls) -> str:
@@ -165,6 +245,9 @@ class CaptureRanges(DataSource):
     def reader(self, schema) -> RangeReader:
         return RangeReader(self.options)
 
+    def streamReader(self, schema) -> GrowingReader:
+        return GrowingReader(self.options)
+
 
 def read_large_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Packets of captures of any size, a task per ``range_bytes``. ``seq`` orders the packets of a file.
@@ -174,3 +257,17 @@ def read_large_captures(spark: SparkSession, path: str, range_bytes: int = RANGE
     """
     spark.dataSource.register(CaptureRanges)
     return spark.read.format("capture_ranges").option("rangeBytes", range_bytes).load(path)
+
+
+def follow_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, closing_time: float | None = None) -> DataFrame:
+    """Stream of the packets of a capture, or of a folder of captures, while they are written.
+
+    A restart goes on behind the last record of the last finished batch. ``closing_time``: see ``GrowingReader``.
+    """
+    spark.dataSource.register(CaptureRanges)
+    reader = spark.readStream.format("capture_ranges").option("rangeBytes", range_bytes)
+    if closing_time is not None:
+        reader = reader.option("closingTime", closing_time)
+        # without it "available now" is a single batch for sources of this kind, and windows close in the one after
+        spark.conf.set("spark.sql.streaming.triggerAvailableNowWrapper.enabled", True)
+    return reader.load(path)

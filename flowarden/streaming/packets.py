@@ -15,6 +15,7 @@ from flowarden.operators.alerts import EPISODE_GAP, episodes
 from flowarden.operators.flows import assemble_flows, assemble_flows_3tuple
 from flowarden.operators.history import last_n_snapshots
 from flowarden.session import materialise, owned_intermediates
+from flowarden.sources.ranges import follow_captures
 
 # Payload fields and their defaults, window length, list sizes.
 PAYLOAD_SCHEMA = (
@@ -58,6 +59,17 @@ def packet_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_t
     return normalise_payload(reader.load(path))
 
 
+def capture_stream(spark: SparkSession, path: str, bounded: bool = False) -> DataFrame:
+    """Stream of packets from captures that are still written.
+
+    A ``bounded`` one is closed by its source: all windows of the packets that are there come out, with nothing added
+    to the folder.
+    """
+    packets = follow_captures(spark, path, closing_time=END_MARKER if bounded else None)
+    kept = ["time", "src_ip", "dst_ip", "src_port", "dst_port"]
+    return packets.select(*kept, F.upper("protocol").alias("protocol"), "length", "tcp_flags")
+
+
 def append_end_marker(spark: SparkSession, path: str, fmt: str = "json") -> None:
     """Close the last windows of a bounded stream: add a packet far ahead in event time to its folder.
 

@@ -7,6 +7,7 @@ import pytest
 
 from flowarden.sources import ranges
 from flowarden.sources.captures import decode_capture, read_capture_packets
+from flowarden.streaming import packets as P
 
 BASE = 1_700_000_000
 
@@ -82,3 +83,58 @@ def test_above_two_gigabytes(spark, tmp_path):
     assert got.rdd.getNumPartitions() > 20
     row = got.selectExpr("count(*) AS n", "count(DISTINCT time) AS t", "count(DISTINCT seq) AS s", "min(time) AS a", "max(time) AS b").first()
     assert tuple(row) == (n, n, n, float(BASE), float(BASE + n - 1))
+
+
+def drain(stream, at):
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@pytest.mark.parametrize("size", [20_000, 1 << 20])
+def test_growing_captures_restart_without_loss_or_repeats(spark, tmp_path, size):
+    one, two, folder = capture(900, 5), capture(300, 6, ">"), tmp_path / "in"
+    folder.mkdir()
+    for share in (0.00001, 0.3, 0.3, 0.701, 1.0):  # cuts lie inside headers and records; once nothing is new
+        (folder / "one.pcap").write_bytes(one[: int(len(one) * share)])
+        if share > 0.5:
+            (folder / "two.pcap").write_bytes(two[: int(len(two) * share)])
+        got = drain(ranges.follow_captures(spark, str(folder), size), tmp_path)
+        want = [tuple(r) for data in ((one, two) if share > 0.5 else (one,)) for pdf in decode_capture(data[: int(len(data) * share)]) for r in pdf[COLUMNS].itertuples(index=False)]
+        assert sorted(tuple(r) for r in got.select(*COLUMNS).collect()) == sorted(want)
+    assert got.select("path", "seq").distinct().count() == 1200
+
+
+def test_last_end_from_the_tail(tmp_path):
+    data, path = capture(60_000, 7), tmp_path / "c.pcap"
+    path.write_bytes(data + data[24:40])
+    with ranges._open(str(path)) as file:
+        walk = ranges.Walk(file, len(data) + 16)
+        walk.most = 400  # a tail of 20 kB in a file of some 9 MB
+        assert walk.last_end() == len(data) == ranges.Walk(file, len(data)).last_end()
+        assert ranges.Walk(file, 30).last_end() == 0
+
+
+def test_growing_captures_that_cannot_be_followed(tmp_path):
+    path = tmp_path / "c.pcap"
+    path.write_bytes(capture(30))
+    reader = ranges.GrowingReader({"path": str(path)})
+    end = reader.latestOffset()
+    bad = {"ends": {str(path): end["ends"][str(path)] - 5}, "closed": 0}  # an end inside a record
+    with pytest.raises(ValueError, match="no sure record start"):
+        [b for part in reader.partitions(reader.initialOffset(), bad) for b in reader.read(part)]
+    path.write_bytes(capture(10))
+    with pytest.raises(ValueError, match="shorter"):
+        reader.latestOffset()
+    with pytest.raises(ValueError, match="shorter"):
+        reader.partitions(end, ranges.GrowingReader({"path": str(path)}).latestOffset())
+    path.write_bytes(b"\x0a\x0d\x0d\x0a" + bytes(40))
+    with pytest.raises(ValueError, match="classic"):
+        ranges.GrowingReader({"path": str(path)}).latestOffset()
+
+
+def test_a_bounded_capture_stream_closes_its_windows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.pcap").write_bytes(capture(1500))
+    got = drain(P.window_counts(P.capture_stream(spark, str(tmp_path / "in"), bounded=True)), tmp_path)
+    want = P.window_counts(read_capture_packets(spark, str(tmp_path / "in")))
+    assert want.count() > 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
