@@ -9,25 +9,55 @@ from flowarden.llm import language as L
 from flowarden.llm.queries import QUERIES
 
 
+def slow_letter(symbol):
+    out = []
+    for word in range(L.DIMENSIONS // 64):
+        z = (symbol * (L.DIMENSIONS // 64) + word + (L.SEED << 32)) * 0x9E3779B97F4A7C15 % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        z ^= z >> 31
+        out += [2 * (z >> i & 1) - 1 for i in range(64)]
+    return np.array(out)
+
+
 def slow_bundle(text):
-    letters = np.random.default_rng(L.SEED).choice(np.array([-1, 1], np.int8), (L.SYMBOLS, L.DIMENSIONS)).astype(int)
     symbols = [0]
     for c in text.lower():
-        s = ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5 if c.isalpha() else 0
+        s = ord(c) - 96 if "a" <= c <= "z" else L.PLAIN + ord(c) if c.isalpha() else 0
         if s or symbols[-1]:
             symbols.append(s)
     symbols += [0] if symbols[-1] else []
     total = np.zeros(L.DIMENSIONS, int)
     for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
-        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        total += np.roll(slow_letter(a), 2) * np.roll(slow_letter(b), 1) * slow_letter(c)
     return total
 
 
+def bundled(text):
+    return L.bundle(*np.unique(L.trigrams(text), return_counts=True))
+
+
 def test_bundle_is_the_sum_of_bound_letters():
-    text = "Ça va, 123 the  THE öß x"
-    got = L.bundle(np.bincount(L.trigrams(text), minlength=L.SYMBOLS**3))
-    assert got.tolist() == slow_bundle(text).tolist()
+    for text in ("Ça va, 123 the  THE öß x", "абв гд 漢字かな 𐐷 a", "plain words only"):
+        assert bundled(text).tolist() == slow_bundle(text).tolist()
     assert len(L.trigrams("12 --")) == 0 and len(L.trigrams("a")) == 1
+    many = "".join(chr(0x4E00 + i * 7 % 9000) for i in range(9000))  # more trigrams than are bound at once
+    assert len(np.unique(L.trigrams(many))) > 2 * L.AT_ONCE
+    assert (bundled(many) == L.bind(L.trigrams(many)).sum(0, dtype=int)).all()
+
+
+def test_letters_of_any_script_have_their_own_vectors():
+    vectors = L.letter_vectors(L._symbol_table()[[ord(c) for c in "abzéàабвгдαβγ漢字かな"]])
+    near = vectors.astype(int) @ vectors.T.astype(int)
+    assert (np.abs(near - L.DIMENSIONS * np.eye(len(vectors), dtype=int)) < L.DIMENSIONS // 5).all()
+
+
+def test_languages_of_one_other_script_are_told_apart(spark):
+    said = {"ru": "это был первый день когда они пошли в город", "bg": "това беше първият ден когато те отидоха в града", "uk": "це був перший день коли вони пішли до міста", "el": "ήταν η πρώτη μέρα που πήγαν στην πόλη"}
+    model = L.learn(spark.createDataFrame([(t, k) for k, t in said.items()], "text string, lang string"))
+    asked = {"ru": "они пошли в первый город", "bg": "те отидоха първият ден", "uk": "вони пішли перший день", "el": "πήγαν στην πρώτη πόλη"}
+    rows = spark.createDataFrame(list(asked.items()), "lang string, text string").select("lang", L.identify("text", model).alias("p")).collect()
+    assert all(r.lang == r.p.lang_pred for r in rows)
 
 
 def test_undefined_texts_and_empty_model(spark):
