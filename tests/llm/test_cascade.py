@@ -61,6 +61,19 @@ def test_measured_shares(docs):
     assert got["upper_case"][1] > 0 and all(s >= 0 for s, _ in got.values())
 
 
+def test_sample_holds_neither_all_null_ids_nor_rows_of_the_base_rule(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(t):
+        seen.add(1)
+        return "x" in t.words
+
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too few"
+    rows = spark.range(40_000).selectExpr(f"IF(id % 2 = 0, '{good}', '{bad}') AS text", "CAST(NULL AS LONG) AS doc_id")
+    assert Q.measure(rows, (watch,), sample_rows=1000)["watch"][1] == 0
+    assert 300 < seen.value < 700
+
+
 def test_order_by_rejections_per_cost():
     measured = {r.__name__: (1.0, 0.0) for r in Q.RULES}
     measured |= {"bullets": (0.5, 0.1), "symbols": (0.1, 0.05), "one_word": (0.2, 0.0)}
