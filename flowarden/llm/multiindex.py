@@ -64,7 +64,8 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def fit(entries: DataFrame, rows: int, centroids: int, sample_rows: int = SAMPLE_ROWS, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray, float]:
     """Codebooks of both halves, and the share of all entries to probe. No entry: empty ones."""
     share = min(1.0, sample_rows / max(1, rows))
-    sample = entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").toPandas()["v"]
+    # of 2^62 hash values, so that no table is too large for the share
+    sample = entries.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 62)) < int(share * (1 << 62))).select("v").toPandas()["v"]
     if not len(sample):
         sample = entries.limit(1).select("v").toPandas()["v"]
     points = np.unique(np.array(sample.tolist()), axis=0)
