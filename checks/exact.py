@@ -733,6 +733,22 @@ def _(s, d):
     return H.history_page(view(s, d, "history"), "port", "Online", 1, None, 15, 30, "confidence", "asc")[0]
 
 
+@exact("l4_history_deep_page", oracle(["history"], "SELECT * FROM history ORDER BY confidence DESC, id OFFSET 1700 LIMIT 40"))
+def _(s, d):
+    """A page far behind, found by counted key ranges."""
+    return H.history_page(view(s, d, "history"), None, None, None, None, 40, 1700, "confidence", "desc", plain_rows=200)[0]
+
+
+@exact("l4_history_page_after", oracle(["history"], "SELECT * FROM history WHERE mode = 'Online' ORDER BY src_ip DESC, id OFFSET 50 LIMIT 25"))
+def _(s, d):
+    """The third page, by the last record of the second."""
+    h, seen = view(s, d, "history"), None
+    for _ in range(2):
+        page = H.history_page(h, mode="Online", sort_by="src_ip", after=seen)[0].collect()
+        seen = (page[-1]["src_ip"], page[-1]["id"])
+    return H.history_page(h, mode="Online", sort_by="src_ip", after=seen)[0]
+
+
 @exact("l4_history_total", oracle(["history"], f"SELECT count(*) AS total {PAGE}"))
 def _(s, d):
     return H.history_page(view(s, d, "history"), "port", "Online", 1)[1]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import attribution_from_json, explanation_text
+from flowarden.operators.ordered import between
+
+PLAIN_PAGE_ROWS = 10_000  # pages that end before this row are a plain top-n
 
 # Columns a page may sort by, exported columns, settings defaults.
 SORT_COLUMNS = ["timestamp", "mode", "src_ip", "dst_ip", "protocol", "dst_port", "prediction", "confidence", "attack_type"]
@@ -41,13 +44,39 @@ def _matching(df: DataFrame, search=None, mode=None, prediction=None, protocol=N
 def history_page(
     df: DataFrame, search: str | None = None, mode: str | None = None, prediction: int | None = None, protocol: str | None = None,
     limit: int = 25, offset: int = 0, sort_by: str = "timestamp", sort_order: str = "DESC",
+    after: tuple | None = None, plain_rows: int = PLAIN_PAGE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of matching records and a one-row table with the total number of matches."""
+    """One page of matching records and a one-row table with the total number of matches.
+
+    ``after`` (sort value and id of the last record seen) starts behind that record instead of at ``offset``; such a page
+    costs one filtered scan however far it lies. Offsets beyond ``plain_rows`` are found by counting key ranges.
+    """
     sort_by = sort_by if sort_by in SORT_COLUMNS else "timestamp"
     sort_order = sort_order.upper() if sort_order.upper() in ("ASC", "DESC") else "DESC"
     hits = _matching(df, search, mode, prediction, protocol)
-    order = F.asc(sort_by) if sort_order == "ASC" else F.desc(sort_by)
-    return hits.orderBy(order, "id").offset(offset).limit(limit), hits.agg(F.count(F.lit(1)).alias("total"))
+    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    rising = sort_order == "ASC"
+    order = F.asc(sort_by) if rising else F.desc(sort_by)
+    if after is not None:
+        return hits.where(_behind(sort_by, rising, *after)).orderBy(order, "id").limit(limit), total
+    if offset + limit <= plain_rows:
+        return hits.orderBy(order, "id").offset(offset).limit(limit), total
+    if rising:
+        return between(hits, [sort_by, "id"], offset, limit, plain_rows), total
+    # falling values with rising ids are the mirror image of rising values with falling ids
+    end = max(0, total.first()["total"] - offset)
+    start = max(0, end - limit)
+    page = between(hits.withColumn("__falling", -F.col("id")), [sort_by, "__falling"], start, end - start, plain_rows)
+    return page.drop("__falling").orderBy(order, "id"), total
+
+
+def _behind(sort_by: str, rising: bool, value, record_id: int) -> Column:
+    """Whether a record comes after the given one; missing values come first among rising and last among falling ones."""
+    c = F.col(sort_by)
+    same = c.eqNullSafe(F.lit(value)) & (F.col("id") > record_id)
+    if value is None:
+        return same | c.isNotNull() if rising else same
+    return same | (c > F.lit(value)) if rising else same | (c < F.lit(value)) | c.isNull()
 
 
 def export_columns(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,18 +109,34 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select(*cols).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def append_history(df: DataFrame, path: str, key: str = "id", attribution: str = "contributions") -> DataFrame:
-    """Append predictions, stamped with the write time, attribution as JSON; ids continue the table's.
+def _history(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # no table yet
+
 
-    Stored by day and mode so that paged reads prune. Returns the appended rows.
+def append_history(df: DataFrame, path: str, key: str = "id", attribution: str = "contributions", batch: int | None = None) -> DataFrame:
+    """Append predictions, stamped with the write time, attribution as JSON. Returns the appended rows.
+
+    Stored by day and mode so that paged reads prune. Without ``batch`` ids continue the table's, for a single writer at
+    a time. With a batch number, which no other batch of the table may have (from 1 to 2^31 - 1), ids are the batch's own
+    range of 2^32: writers never meet, nothing is read to find the last id, and a batch that is there already (a retry)
+    is not written again.
     """
     spark = df.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception as e:  # noqa: BLE001 - no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = 0
+    if batch is None:
+        stored = _history(spark, path)
+        last = (stored.agg(F.max("id")).first()[0] or 0) if stored is not None else 0
+    else:
+        if not 0 < batch < 1 << 31:
+            raise ValueError(f"batch number out of range: {batch}")
+        last, stored = batch << 32, _history(spark, path)
+        own = None if stored is None else stored.where(F.col("id").between(last + 1, last + (1 << 32) - 1))
+        if own is not None and not own.isEmpty():
+            return own.select(*EXPORT_COLUMNS, "shap_explanation", "day")
     now = spark.sql("SELECT current_timestamp() AS t").first()[0]
     stamp = F.lit(now).cast("timestamp")
     numbered = ranked(df, [key], "__pos")

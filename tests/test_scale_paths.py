@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowarden.operators import alerts, ordered, quantiles, sampling
+from flowarden.functions.scalars import IMPACT_TYPE
+from flowarden.operators import alerts, history, ordered, quantiles, sampling
+from flowarden.sources import tables
 
 
 @pytest.fixture
@@ -166,3 +168,44 @@ def test_owned_intermediates_go(spark):
         place = path.removeprefix("file:")
         assert stored.count() == 5 and os.listdir(place)
     assert not os.path.exists(place)
+
+
+@pytest.mark.parametrize("skip, n", [(0, 5), (1500, 30), (4000, 7), (5990, 30), (7000, 3), (40, 0)])
+def test_rows_between_positions(skewed, skip, n):
+    df, rows = skewed
+    got = [(r["v"], r["id"]) for r in ordered.between(df, ["v", "id"], skip, n, most_rows=100).collect()]
+    assert got == sorted((v, i) for i, _, v in rows)[skip : skip + n]
+
+
+@pytest.fixture
+def records(spark):
+    rows = [(i, None if i % 5 == 0 else "Offline" if i % 3 else "Online", i % 2, f"10.0.0.{i % 4}", "UDP", float(i % 7)) for i in range(1, 901)]
+    return spark.createDataFrame(rows, "id long, mode string, prediction int, src_ip string, protocol string, confidence double").repartition(5)
+
+
+@pytest.mark.parametrize("order", ["ASC", "DESC"])
+@pytest.mark.parametrize("by", ["mode", "confidence"])
+def test_deep_and_following_pages_are_those_of_the_whole_order(records, by, order):
+    whole, plain_total = history.history_page(records, limit=10_000, sort_by=by, sort_order=order, plain_rows=20_000)
+    want = [r["id"] for r in whole.collect()]
+    for offset in (0, 170, 890, 950):
+        page, total = history.history_page(records, limit=20, offset=offset, sort_by=by, sort_order=order, plain_rows=50)
+        assert [r["id"] for r in page.collect()] == want[offset : offset + 20]
+        assert total.first() == plain_total.first() == (900,)
+    got, seen = [], None
+    while page := history.history_page(records, limit=180, sort_by=by, sort_order=order, after=seen)[0].collect():
+        got += [r["id"] for r in page]
+        seen = (page[-1][by], page[-1]["id"])
+    assert got == want
+
+
+def test_batches_of_history_never_share_ids(spark, tmp_path):
+    path = str(tmp_path / "history")
+    df = spark.range(1, 41).selectExpr("id AS k", "'Online' AS mode", "'a' AS src_ip", "'b' AS dst_ip", "'TCP' AS protocol", "80 AS dst_port", "1 AS prediction", "0.5 AS confidence", "'x' AS attack_type", "-0.5 AS if_score", "0.5 AS xgb_prob")
+    df = df.withColumn("contributions", F.array().cast(IMPACT_TYPE))
+    for batch in (7, 3, 7):  # the last is a retry
+        assert tables.append_history(df, path, "k", batch=batch).count() == 40
+    ids = sorted(r["id"] for r in spark.read.parquet(path).collect())
+    assert ids == [*range((3 << 32) + 1, (3 << 32) + 41), *range((7 << 32) + 1, (7 << 32) + 41)]
+    with pytest.raises(ValueError, match="out of range"):
+        tables.append_history(df, path, "k", batch=0)
