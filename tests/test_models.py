@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from checks.exact import fin, raw_flows
 from checks.modelled import classes
 from flowarden.functions.scalars import CORE_FEATURES
+from flowarden.models import histogram
 from flowarden.models.attribution import Attributor, shapley_tables, shapley_values
 from flowarden.models.compare import ISOLATION, compare_models
 from flowarden.models.hybrid import HybridDetector
 from flowarden.models.iforest import IsolationForest, average_path
-from flowarden.models.supervised import fit_adaboost
+from flowarden.models.supervised import fit_adaboost, fit_boosted_trees
 from flowarden.operators import evaluate
 from flowarden.plans import detection, studies
 
@@ -182,3 +183,17 @@ def test_rows_outside_the_sample_are_unseen(spark, sf_dir):
     assert len(cells) == 8 and {cells[k] for k in cells if k[1] == "test"} == {120} and {cells[k] for k in cells if k[1] == "unseen"} == {total - 600}
     metrics = studies.rigorous_eval(*classes(spark, sf_dir), "flow_id", n=300, k=2, forest_trees=5, trees=2, rounds=2)["metrics"].collect()
     assert {r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in metrics if r["eval_set"] == "unseen"} == {total - 480}
+
+
+def test_boosting_over_a_table_stores_its_scores(cluster, monkeypatch):
+    """More trees than are kept between two stored scores: the same trees as inside one task, and no pass for the last level."""
+    monkeypatch.setattr(histogram, "STORED_TREES", 2)
+    passes = []
+    level = histogram.TableSums.level
+    monkeypatch.setattr(histogram.TableSums, "level", lambda self, *args: passes.append(1) or level(self, *args))
+    noisy = cluster.withColumn("y", ((F.col("a") + F.col("b") + F.col("id") % 3) > 1).cast("int"))
+    over, inside = (fit_boosted_trees(noisy, ["a", "b"], "y", trees=5, depth=2, task_rows=n).model.nodes for n in (0, 10_000))
+    assert over.equals(inside)
+    assert over["treeID"].nunique() == 5 and len(passes) == 10
+    stumps = [fit_adaboost(noisy, ["a", "b"], "y", 5, task_rows=n).stumps for n in (0, 10_000)]
+    assert stumps[0] == stumps[1] and len(stumps[0]) > 3
