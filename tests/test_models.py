@@ -1,6 +1,9 @@
 """Properties of the fitted detectors."""
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from flowarden.models import histogram
 from flowarden.models.attribution import Attributor, shapley_tables, shapley_values
 from flowarden.models.compare import ISOLATION, compare_models
 from flowarden.models.hybrid import HybridDetector
-from flowarden.models.iforest import IsolationForest, average_path
+from flowarden.models.iforest import IsolationForest, average_path, grow_tree
 from flowarden.models.supervised import fit_adaboost, fit_boosted_trees
 from flowarden.operators import evaluate
 from flowarden.plans import detection, studies
@@ -197,3 +200,22 @@ def test_boosting_over_a_table_stores_its_scores(cluster, monkeypatch):
     assert over["treeID"].nunique() == 5 and len(passes) == 10
     stumps = [fit_adaboost(noisy, ["a", "b"], "y", 5, task_rows=n).stumps for n in (0, 10_000)]
     assert stumps[0] == stumps[1] and len(stumps[0]) > 3
+
+
+def test_leaf_bits_agree_with_plain_steps():
+    """Trees of one leaf, of one word, of several words and too large for bits, over missing and infinite values."""
+    rng = np.random.default_rng(3)
+    nodes = []
+    for t, (rows, depth) in enumerate([(1, 1), (40, 6), (256, 8), (256, 40), (3000, 60), (90, 9)]):
+        grown = {n[0]: n for n in grow_tree(rng.lognormal(size=(rows, 4)).round(2), depth, rng)}
+        number = {n: i for i, n in enumerate(sorted(grown))}  # ids of deep trees outgrow an int
+        nodes += [(t, number[i], f, cut, number.get(left, -1), number.get(right, -1), float(rng.normal()) if f < 0 else 0.0, 1.0) for i, f, cut, left, right, _, _ in grown.values()]
+    arrays = histogram.NodeTrees(pd.DataFrame(nodes, columns=histogram._names(histogram.NODES))).arrays()
+    x = rng.lognormal(size=(9000, 4)).round(2)
+    x[::7, 0], x[::11, 1], x[::13, 2] = np.nan, np.inf, -np.inf
+    scorer = pickle.loads(pickle.dumps(histogram.Scorer(arrays)))
+    assert len(scorer.walked) == 1 and scorer.value.shape[0] > 5
+    assert np.array_equal(scorer.total(x), histogram.walk(x, arrays))
+    assert scorer.total(x[:0]).shape == (0,)
+    alone = histogram.Scorer((np.array([0]), np.array([-1]), np.array([np.nan]), np.array([0]), np.array([0]), np.array([0.25])))
+    assert alone.total(x[:600]).tolist() == [0.25] * 600
