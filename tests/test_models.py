@@ -16,8 +16,9 @@ from flowarden.models.compare import ISOLATION, compare_models
 from flowarden.models.hybrid import HybridDetector
 from flowarden.models.iforest import IsolationForest, average_path, grow_tree
 from flowarden.models.supervised import fit_adaboost, fit_boosted_trees
-from flowarden.operators import evaluate
+from flowarden.operators import evaluate, sampling
 from flowarden.plans import detection, studies
+from flowarden.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -219,3 +220,25 @@ def test_leaf_bits_agree_with_plain_steps():
     assert scorer.total(x[:0]).shape == (0,)
     alone = histogram.Scorer((np.array([0]), np.array([-1]), np.array([np.nan]), np.array([0]), np.array([0]), np.array([0.25])))
     assert alone.total(x[:600]).tolist() == [0.25] * 600
+
+def test_tables_with_enough_splits_stay_in_place(spark, tmp_path):
+    """A share of a table dealt over the cores grows with it: only tables of small splits are dealt."""
+    spark.range(50_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    wide = ids.select(*[F.col("id").alias(f"c{i}") for i in range(600 * spark.sparkContext.defaultParallelism)])
+    size = int(str(wide._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    assert cores * 8 * 1024 * 1024 < size <= cores * 128 * 1024 * 1024
+    assert spread(wide) is wide and spread(ids) is not ids
+
+
+def test_both_classes_are_drawn_together(cluster, monkeypatch):
+    """The rows of one draw for each class, from one stored table."""
+    stored = []
+    store = sampling.materialise
+    monkeypatch.setattr(sampling, "materialise", lambda df, label: stored.append(label) or store(df, label))
+    got = {r["id"] for r in sampling.sample_per_class(cluster, 20, 7, "id", "y").collect()}
+    assert len(stored) == 1
+    want = [sampling.sample_n(cluster.where(F.col("y") == k), 20, 7, "id") for k in (0, 1)]
+    assert got == {r["id"] for df in want for r in df.collect()} and len(got) == 35
+
