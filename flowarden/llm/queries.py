@@ -146,10 +146,16 @@ def _(spark, d):
 
 @query("op8_licence_scan")
 def _(spark, d):
-    # a document is a file of its source, a thousand ids to a directory
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
-    return licences.scan(files).select("doc_id", "path", "licence", "cosine", "licence_from")
+    # a document is a file of its source, a hundred ids to a directory below one for a thousand; every twentieth is named as a
+    # licence file, and stands the higher the rounder its id: what such a file says governs all below it that say nothing
+    n = F.col("doc_id")
+    thousands, hundreds = (F.floor(n / k).cast("string") for k in (1000, 100))
+    folder = F.when(n % 1000 == 0, "").when(n % 100 == 0, thousands).otherwise(F.concat_ws("/", thousands, hundreds))
+    name = F.concat(F.when(n % 20 == 0, "LICENSE-").otherwise(""), n.cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", "source", F.nullif(folder, F.lit("")), name)
+    scanned = licences.scan(table(spark, d, "documents").select("doc_id", path.alias("path"), "text"))
+    own = F.when(F.col("licence_from") == "own", F.col("licence"))
+    return scanned.select("doc_id", "path", own.alias("licence"), "cosine", F.col("licence").alias("licence_in_force"), "licence_from")
 
 
 @query("op13_sentencepiece_table")

@@ -92,3 +92,14 @@ def test_wrapped_headers(spark):
     rows = [(f"src/{i}.c", text) for i, (_, text) in enumerate(HEADERS)] * 2
     got = {r.path: r.licence for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {f"src/{i}.c": name for i, (name, _) in enumerate(HEADERS)}
+
+
+def test_query_inherits(spark, tmp_path):
+    """Licence files among the documents govern what lies below them, the nearest one first."""
+    says = {0: "Released under the MIT License.", 1200: "Licensed under CC BY-NC 4.0.", 1240: "All of it.\nSPDX-License-Identifier: Apache-2.0", 1245: "SPDX-License-Identifier: GPL-3.0\ncode"}
+    docs = [(i, says.get(i, "plain words"), "en", source, 11) for source, ids in (("src1", (0, 7, 1105, 1200, 1241, 1240, 1245, 1301)), ("src2", (8, 1232)), (None, (9,))) for i in ids]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.licence, r.licence_in_force, r.licence_from) for r in QUERIES["op8_licence_scan"](spark, str(tmp_path)).collect()}
+    own = {0: "MIT", 1200: "CC-BY-NC-4.0", 1240: "Apache-2.0", 1245: "GPL-3.0"}
+    inherited = {7: "MIT", 1105: "CC-BY-NC-4.0", 1241: "Apache-2.0", 1301: "CC-BY-NC-4.0"}
+    assert got == {i: (own.get(i), own.get(i) or inherited.get(i), "own" if i in own else "inherited" if i in inherited else None) for i, *_ in docs}
