@@ -242,3 +242,21 @@ def test_both_classes_are_drawn_together(cluster, monkeypatch):
     want = [sampling.sample_n(cluster.where(F.col("y") == k), 20, 7, "id") for k in (0, 1)]
     assert got == {r["id"] for df in want for r in df.collect()} and len(got) == 35
 
+
+
+def test_many_trees_stay_leaf_bits():
+    """Bits are kept for blocks of trees that fit a cache, however many trees; large trees are walked from their top's exits, side by side."""
+    rng = np.random.default_rng(5)
+    nodes = []
+    for t, (rows, depth) in enumerate([(256, 8)] * 150 + [(2000, 30)] * 3 + [(256, 8)] * 20):
+        grown = {n[0]: n for n in grow_tree(rng.lognormal(size=(rows, 6)), depth, rng)}
+        number = {n: i for i, n in enumerate(sorted(grown))}
+        nodes += [(t, number[i], f, cut, number.get(left, -1), number.get(right, -1), float(rng.normal()) if f < 0 else 0.0, 1.0) for i, f, cut, left, right, _, _ in grown.values()]
+    arrays = histogram.NodeTrees(pd.DataFrame(nodes, columns=histogram._names(histogram.NODES))).arrays()
+    scorer = histogram.Scorer(arrays)
+    assert sorted(scorer.walked) == [150, 151, 152] and len(scorer.blocks) > 3
+    for tables, _, _ in scorer.blocks:
+        assert sum(table.nbytes for _, table in tables.values()) <= 2 * histogram.BLOCK_BYTES
+    x = rng.lognormal(size=(5000, 6))
+    x[::9, 4] = np.nan
+    assert np.array_equal(scorer.total(x), histogram.walk(x, arrays))
