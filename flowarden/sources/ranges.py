@@ -45,6 +45,34 @@ class Range(InputPartition):
     ends: bool = False
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, a range after the other."""
+
+    parts: list[Range]
+
+
+def _dealt(ranges: list[Range], step: int, tasks: int) -> list[Ranges]:
+    """Neighbouring ranges put together: starting a task costs far more than reading a small capture.
+
+    A task gets at least ``step`` bytes, and with ``tasks`` cores its part of a quarter of all, up to ``RANGE_BYTES``.
+    """
+    share = sum(r.high - r.low for r in ranges) // (4 * tasks) if tasks else 0
+    most, out, held = max(step, min(RANGE_BYTES, share)), [], 0
+    for r in ranges:
+        if not out or held + r.high - r.low > most:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(r)
+        held += r.high - r.low
+    return out or [Ranges([])]
+
+
+def _sizes(options: dict) -> tuple[str, int, int]:
+    """Path, bytes of a range, cores (0: not known)."""
+    return options["path"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES))), int(options.get("cores", 0))
+
+
 def _open(path: str) -> pa.NativeFile:
     store, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
     return store.open_input_file(inner)
@@ -128,19 +156,22 @@ class Walk:
 
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.step = options["path"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.path, self.step, self.cores = _sizes(options)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for path, size in _listed(self.path):
-            with _open(path) as file:
-                classic = bytes(file.read_at(4, 0)) in ORDERS
-            cuts = list(range(0, size, self.step)) if classic else [0]
+            cuts = [0]
+            if size > self.step:  # a smaller one is not cut, whatever it is
+                with _open(path) as file:
+                    if bytes(file.read_at(4, 0)) in ORDERS:
+                        cuts = list(range(0, size, self.step))
             out += [Range(path, low, high, size) for low, high in zip(cuts, [*cuts[1:], size])]
-        return out or [Range("", 0, 0, 0)]
+        return _dealt(out, self.step, self.cores)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from read_range(part)
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -152,7 +183,7 @@ class GrowingReader(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict):
-        self.path, self.step = options["path"], int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.path, self.step, self.cores = _sizes(options)
         closing = options.get("closingtime", options.get("closingTime"))
         self.closing = None if closing is None else float(closing)
         self.seen: dict[str, tuple[int, int]] = {}  # size and end of each capture when it was last looked at
@@ -175,7 +206,7 @@ class GrowingReader(DataSourceStreamReader):
         self.seen = seen
         return {"ends": {path: end for path, (_, end) in seen.items() if end}, "closed": int(self.closing is not None)}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         out = []
         for path, stop in sorted(end["ends"].items()):
             base = start["ends"].get(path, HEADER)
@@ -185,11 +216,13 @@ class GrowingReader(DataSourceStreamReader):
             out += [Range(path, low, high, stop, base, True) for low, high in zip(cuts, [*cuts[1:], stop])]
         if end["closed"] > start["closed"]:
             out.append(Range("", 0, 0, 0, ends=True))
-        return out or [Range("", 0, 0, 0)]
+        return _dealt(out, self.step, self.cores)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from read_range(part) if part.path else self._closing_row()
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.path or not partition.ends:
-            return read_range(partition)
+    def _closing_row(self) -> Iterator[pa.RecordBatch]:
         empty = {"string": "", "long": 0, "int": 0, "double": 0.0}
         row = {n: empty[t] for n, t in (c.split() for c in PACKET_SCHEMA.split(", "))} | {"time": self.closing}
         return iter([pa.RecordBatch.from_pylist([row], SCHEMA)])
@@ -250,13 +283,14 @@ class CaptureRanges(DataSource):
 
 
 def read_large_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Packets of captures of any size, a task per ``range_bytes``. ``seq`` orders the packets of a file.
+    """Packets of captures of any size in ranges of ``range_bytes``; a task reads neighbouring ones. ``seq`` orders the packets of a file.
 
     The tasks open the path themselves, so it must be a shared folder or a store that pyarrow reaches;
     ``captures.read_capture_packets`` reads what only Spark reaches, below 2 GB a file.
     """
     spark.dataSource.register(CaptureRanges)
-    return spark.read.format("capture_ranges").option("rangeBytes", range_bytes).load(path)
+    reader = spark.read.format("capture_ranges").option("rangeBytes", range_bytes)
+    return reader.option("cores", spark.sparkContext.defaultParallelism).load(path)
 
 
 def follow_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, closing_time: float | None = None) -> DataFrame:
@@ -265,7 +299,7 @@ def follow_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
     A restart goes on behind the last record of the last finished batch. ``closing_time``: see ``GrowingReader``.
     """
     spark.dataSource.register(CaptureRanges)
-    reader = spark.readStream.format("capture_ranges").option("rangeBytes", range_bytes)
+    reader = spark.readStream.format("capture_ranges").option("rangeBytes", range_bytes).option("cores", spark.sparkContext.defaultParallelism)
     if closing_time is not None:
         reader = reader.option("closingTime", closing_time)
         # without it "available now" is a single batch for sources of this kind, and windows close in the one after

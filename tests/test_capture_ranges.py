@@ -138,3 +138,17 @@ def test_a_bounded_capture_stream_closes_its_windows(spark, tmp_path):
     got = drain(P.window_counts(P.capture_stream(spark, str(tmp_path / "in"), bounded=True)), tmp_path)
     want = P.window_counts(read_capture_packets(spark, str(tmp_path / "in")))
     assert want.count() > 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_small_captures_share_a_task(tmp_path):
+    """A folder of many small captures is read by as many tasks as the cores need, not by one for each."""
+    for i in range(300):
+        (tmp_path / f"part-{i:03}.pcap").write_bytes(capture(5 + i % 3, i))
+    reader = ranges.RangeReader({"path": str(tmp_path), "rangeBytes": 1000, "cores": 4})
+    parts = reader.partitions()
+    assert 16 <= len(parts) <= 20
+    rows = [tuple(r) for part in parts for b in reader.read(part) for r in b.to_pandas()[["path", "seq"]].itertuples(index=False)]
+    assert len(rows) == len(set(rows)) == sum(5 + i % 3 for i in range(300))
+    reader = ranges.GrowingReader({"path": str(tmp_path), "rangeBytes": 1000, "cores": 4, "closingTime": 1.0})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) <= 20 and sum(b.num_rows for part in parts for b in reader.read(part)) == len(rows) + 1
