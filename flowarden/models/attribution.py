@@ -11,7 +11,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import IMPACT_TYPE, display_name, rank_attribution
@@ -103,25 +103,34 @@ class Attributor:
         self.trees, self.base = shapley_tables(model.nodes, [0.5] * model.trees)
         self.inputs, self.features = list(inputs), list(features)
 
-    def values(self, df: DataFrame, name: str = "__phi") -> DataFrame:
+    def values(self, df: DataFrame, name: str = "__phi", only: Column | None = None) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
         k = len(self.inputs)
 
         @F.pandas_udf("array<double>")
         def phi(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for columns in batches:
-                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-                parts = [shapley_values(x[i : i + 2000], shared.value, k) for i in range(0, len(x), 2000)]
-                yield pd.Series(list(np.concatenate(parts))) if parts else pd.Series([], dtype=object)
-
-        return spread(df).withColumn(name, phi(*self.inputs))
-
-    def transform(self, df: DataFrame, name: str = "contributions") -> DataFrame:
-        out = self.values(df)
+            for wanted, *columns in batches:
+                rows = np.flatnonzero(wanted.to_numpy(dtype=bool))
+                x = np.column_stack([c.to_numpy(dtype=float).take(rows) for c in columns])
+                out = np.full(len(wanted), None, object)
+                for i in range(0, len(x), 2000):
+                    for at, row in zip(rows[i : i + 2000], shapley_values(x[i : i + 2000], shared.value, k)):
+                        out[at] = row
+                yield pd.Series(out)
+
+        wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+        return spread(df).withColumn(name, phi(wanted, *self.inputs))
+
+    def transform(self, df: DataFrame, name: str = "contributions", only: Column | None = None) -> DataFrame:
+        """With ``only`` the other rows get an empty list, and no value is worked out for them."""
+        out = self.values(df, only=only)
         items = F.array(
             *[
                 F.struct(F.lit(f).alias("feature"), display_name(F.lit(f)).alias("display_name"), F.col("__phi")[i].alias("impact"))
                 for i, f in enumerate(self.features)
             ]
         )
-        return out.withColumn(name, rank_attribution(items.cast(IMPACT_TYPE))).drop("__phi")
+        ranked = rank_attribution(items.cast(IMPACT_TYPE))
+        if only is not None:
+            ranked = F.when(F.coalesce(only, F.lit(False)), ranked).otherwise(F.array().cast(IMPACT_TYPE))
+        return out.withColumn(name, ranked).drop("__phi")

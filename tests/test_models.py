@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.exact import fin, raw_flows
 from checks.modelled import classes
-from flowarden.functions.scalars import CORE_FEATURES
+from flowarden.functions.scalars import BENIGN_TEXT, CORE_FEATURES, explanation_text
 from flowarden.models import histogram
 from flowarden.models.attribution import Attributor, shapley_tables, shapley_values
 from flowarden.models.compare import ISOLATION, compare_models
@@ -260,3 +260,24 @@ def test_many_trees_stay_leaf_bits():
     x = rng.lognormal(size=(5000, 6))
     x[::9, 4] = np.nan
     assert np.array_equal(scorer.total(x), histogram.walk(x, arrays))
+
+
+def test_attribution_scores_a_row_once(spark, sf_dir, hybrid, tmp_path):
+    """Flagged rows get what they get alone, the others an empty list, and the table is read and scored in one pass."""
+    fin(spark, sf_dir).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    attribute = Attributor(spark, hybrid.booster.model, hybrid.input_names, hybrid.feature_names)
+    out = detection.score_flows(rows, hybrid, 0.5, attribute)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {r["flow_id"]: r for r in out.collect()}
+    flagged = {i for i, r in got.items() if r["is_anomaly"]}
+    alone = attribute.transform(hybrid.transform(rows, keep_inputs=True).where(F.col("flow_id").isin(sorted(flagged)[:500])))
+    alone = alone.collect()
+    assert len(alone) == min(500, len(flagged)) > 0 and len(flagged) < len(got)
+    for r in alone:
+        one, other = ({c["feature"]: c["impact"] for c in row["contributions"]} for row in (r, got[r["flow_id"]]))
+        assert one.keys() == other.keys() and all(abs(one[f] - other[f]) < 1e-9 for f in one)
+    ranked_again = out.select("flow_id", explanation_text("contributions").alias("t")).collect()
+    assert all(got[r["flow_id"]]["explanation_text"] == r["t"] for r in ranked_again if r["flow_id"] in flagged)
+    assert all(bool(r["contributions"]) == (i in flagged) for i, r in got.items())
+    assert {r["explanation_text"] for i, r in got.items() if i not in flagged} == {BENIGN_TEXT}
