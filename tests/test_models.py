@@ -281,3 +281,14 @@ def test_attribution_scores_a_row_once(spark, sf_dir, hybrid, tmp_path):
     assert all(got[r["flow_id"]]["explanation_text"] == r["t"] for r in ranked_again if r["flow_id"] in flagged)
     assert all(bool(r["contributions"]) == (i in flagged) for i, r in got.items())
     assert {r["explanation_text"] for i, r in got.items() if i not in flagged} == {BENIGN_TEXT}
+
+
+def test_curves_of_a_study_group_the_rows_once(spark, sf_dir, monkeypatch):
+    stored = []
+    store = evaluate.materialise
+    monkeypatch.setattr(evaluate, "materialise", lambda df, label: stored.append(label) or store(df, label))
+    made = studies.dataset_comparison(*classes(spark, sf_dir), "flow_id", ["Flow Duration", "SYN Flag Cnt", "Pkt Len Mean", "Flow Pkts/s"], trees=5)
+    assert stored.count("per-score") == 1
+    for name, alone in (("roc", evaluate.roc_curve), ("roc_auc", evaluate.roc_auc), ("pr", evaluate.pr_curve), ("average_precision", evaluate.average_precision)):
+        a, b = (sorted([round(v, 9) if v is not None else -1.0 for v in r] for r in df.collect()) for df in (made[name], alone(made.scored)))
+        assert a == b and a
