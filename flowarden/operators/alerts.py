@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowarden.functions.scalars import severity_order
-from flowarden.operators.ordered import ranked
+from flowarden.operators.ordered import ranked, run_totals
 
 EPISODE_GAP = 15 * 60  # fixed value: seconds within which alerts of one type belong together
 
@@ -164,15 +164,8 @@ def detection_summary(df: DataFrame, flag: str = "is_anomaly", prob: str = "prob
 
 def timeline_bins(df: DataFrame, order: Sequence[str], flag: str = "is_anomaly", bins: int = 12, include_tail: bool = True) -> DataFrame:
     """Consecutive equal runs of rows in ``order``; the last run also takes the remainder unless ``include_tail`` is off."""
-    total = df.count()
-    size = max(1, total // bins)
-    numbered = ranked(df.select(*order, flag), order, "__pos")
-    b = F.floor((F.col("__pos") - 1) / F.lit(size)).cast("int") + 1
-    if include_tail:
-        b = F.least(b, F.lit(bins))
-    counted = numbered.withColumn("bin", b).where(F.col("bin") <= bins).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("total"), F.sum(flag).alias("attacks")
-    )
+    size = max(1, df.count() // bins)
+    counted = run_totals(df.select(*order, flag), order, size, {"attacks": flag}, bins, include_tail).withColumn("bin", F.col("run").cast("int"))
     return counted.select(
         "bin", (F.col("total") - F.col("attacks")).alias("normal"), "attacks", F.round(F.col("attacks") / F.col("total") * 100, 2).alias("detection_rate")
     )

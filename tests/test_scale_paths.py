@@ -1,9 +1,13 @@
 """Range-wise ranks, narrowing quantiles and segment folds against plain Python, with skew."""
 
+import re
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowarden.functions import scalars
 from flowarden.functions.scalars import IMPACT_TYPE
 from flowarden.operators import alerts, history, ordered, quantiles, sampling
 from flowarden.sources import tables
@@ -58,6 +62,50 @@ def test_group_totals_come_along(skewed):
         assert all(n == size for n, size in got.values()) and sum(n for n, _ in got.values()) == len(rows)
 
 
+@pytest.mark.parametrize("rest", [True, False])
+@pytest.mark.parametrize("ranges", [None, 1, 16, 300])
+def test_run_totals_equal_those_of_ranked_rows(skewed, ranges, rest):
+    df, rows = skewed
+    size, runs = len(rows) // 13, 12
+    expect = {}
+    for pos, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[0]))):
+        run = min(pos // size + 1, runs) if rest else pos // size + 1
+        if run <= runs:
+            total, ids = expect.get(run, (0, 0))
+            expect[run] = total + 1, ids + i
+    got = ordered.run_totals(df, ["v", "id"], size, {"ids": "id"}, runs, rest, ranges)
+    assert {r["run"]: (r["total"], r["ids"]) for r in got.collect()} == expect
+
+
+def test_timeline_ranks_rows_of_border_ranges_only(spark, monkeypatch):
+    n, ranked = 20_000, []
+    df = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 3 == 0).cast("int").alias("hit"))
+    within = ordered._within
+    monkeypatch.setattr(ordered, "_within", lambda *args: ranked.append(within(*args)) or ranked[-1])
+    rows = alerts.timeline_bins(df, ["k"], "hit").collect()
+    assert sum(r["normal"] + r["attacks"] for r in rows) == n and sum(r["attacks"] for r in rows) == -(-n // 3)
+    assert 1 <= len(ranked) <= 11 and sum(df.where(c).count() for c in ranked) < n / 8
+
+
+def test_range_ids_stay_compiled(spark, request):
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.enabled", "true"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # code of a plan is known before it runs
+    df = spark.range(50_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    plan = ordered.ranked(df, ["k"], ranges=400)._jdf.queryExecution().executedPlan()
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < 8000  # larger methods are interpreted
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, -0.00001, 0.00005, -0.00005, 1.00005, 2.5, 1e-300, 1e15, 1e300, 2.0**36 + 0.00005, float("nan"), float("inf"), float("-inf"), None]
+    values += [float(x) for x in rng.integers(-(10**9), 10**9, 4000) / 1e5] + [float(x) for x in rng.normal(size=4000) * 10.0 ** rng.integers(-6, 14, 4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select(scalars.rounded("v").alias("got"), F.round("v", 4).alias("want")).collect()
+    assert [struct.pack("d", r["got"]) if r["got"] is not None else None for r in rows] == [struct.pack("d", r["want"]) if r["want"] is not None else None for r in rows]
+
+
 def test_unbounded_offsets_join_instead_of_broadcast(skewed, monkeypatch):
     df, rows = skewed
     expect = {r["id"]: r["rank"] for r in ordered.ranked(df, ["v", "id"], by=["g"], ranges=16).collect()}
