@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks.modelled import classes
 from flowarden.functions import scalars
 from flowarden.functions.scalars import IMPACT_TYPE
-from flowarden.operators import alerts, history, ordered, quantiles, sampling
+from flowarden.operators import alerts, features, history, ordered, quantiles, sampling
+from flowarden.plans import studies
 from flowarden.sources import tables
 
 
@@ -106,6 +108,22 @@ def test_rounding_is_that_of_spark(spark):
     assert [struct.pack("d", r["got"]) if r["got"] is not None else None for r in rows] == [struct.pack("d", r["want"]) if r["want"] is not None else None for r in rows]
 
 
+def test_ranks_by_hash_are_those_of_the_order(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 1000 != 7, F.md5(F.col("id").cast("string"))).alias("h")).repartition(5)
+    expect = {r["id"]: r["rank"] for r in ordered.ranked(df, ["h", "id"], ranges=1).collect()}
+    got = ordered.ranked_by_hash(df, "h", "id", 5000)
+    assert got.columns == ["id", "rank"] and {r["id"]: r["rank"] for r in got.collect()} == expect
+
+
+def test_flow_report_reads_the_flows_once(spark, sf_dir, monkeypatch):
+    """Rows are put in random order without a sample of their keys, and stand on the clock as before."""
+    both = sampling.label_union(*classes(spark, sf_dir), "y").withColumn("__h", sampling.hash_order("flow_id", 42))
+    expect = {r["flow_id"]: r["timestamp"] for r in features.synth_timestamps(both, ["__h", "flow_id"]).select("flow_id", "timestamp").collect()}
+    monkeypatch.setattr(ordered, "_range_bounds", None)
+    report = studies.flow_report(*classes(spark, sf_dir), "flow_id", trees=5)
+    assert {r["flow_id"]: r["timestamp"] for r in report.scored.select("flow_id", "timestamp").collect()} == expect
+
+
 def test_unbounded_offsets_join_instead_of_broadcast(skewed, monkeypatch):
     df, rows = skewed
     expect = {r["id"]: r["rank"] for r in ordered.ranked(df, ["v", "id"], by=["g"], ranges=16).collect()}
