@@ -4,6 +4,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from flowarden.models.attribution import Attributor, shapley_tables, shapley_val
 from flowarden.models.compare import ISOLATION, compare_models
 from flowarden.models.hybrid import HybridDetector
 from flowarden.models.iforest import IsolationForest, average_path, grow_tree
-from flowarden.models.supervised import fit_adaboost, fit_boosted_trees
+from flowarden.models.supervised import fit_adaboost, fit_boosted_trees, fit_random_forest
 from flowarden.operators import evaluate, sampling
 from flowarden.plans import detection, studies
 from flowarden.session import spread
@@ -203,6 +204,48 @@ def test_boosting_over_a_table_stores_its_scores(cluster, monkeypatch):
     assert stumps[0] == stumps[1] and len(stumps[0]) > 3
 
 
+def forest_rows(bins, y, n, size):
+    """The rows as a task gets them, in blocks of ``size``."""
+    starts = {(0, i): low for i, low in enumerate(range(0, len(y), size))}
+    blocks = [
+        pa.RecordBatch.from_pydict({"part": [0], "block": [i], "bins": [bins[:, low : low + size].tobytes()], "y": [y[low : low + size].tobytes()], "n": [n[low : low + size].tobytes()]})
+        for (_, i), low in starts.items()
+    ]
+    return histogram.ForestRows(iter(blocks[::-1]), len(bins), starts, len(y))
+
+
+@pytest.mark.parametrize("held", [150, 10_000])
+def test_forest_trees_hold_all_their_draws(held):
+    """Nodes split over blocks and nodes split in memory: covers and values are those of the draws, and leaves are grown out."""
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 30, (4, 2000)).astype(np.uint8)
+    bins[0] //= 10
+    y, n = ((rng.random(2000) < 0.3) | (bins[1] > 24)).astype(np.int8), rng.integers(1, 5, 2000)
+    nodes = histogram.ForestTree([np.arange(30.0)] * 4, 2, np.random.default_rng(8)).grow(forest_rows(bins, y, n, 333), held).nodes()
+    drawn = forest_rows(bins, y, n, 2000).drawn(np.random.default_rng(8))  # blocks do not matter
+    assert drawn.sum() == n.sum() and 0.5 < (drawn > 0).mean() < 0.99
+    at = np.zeros(2000, int)
+    for i, (node, feature, threshold, left, right, value, cover) in enumerate(nodes):
+        own = (at == i) & (drawn > 0)
+        assert node == i and cover == drawn[own].sum()
+        if feature >= 0:
+            assert right == left + 1 > i + 1
+            at[at == i] = left + (bins[feature, at == i] > threshold)
+        else:
+            assert value == (drawn * y)[own].sum() / cover
+            assert value in (0, 1) or (bins[:, own] == bins[:, own][:, :1]).all()
+
+
+def test_forest_draws_from_all_rows(cluster):
+    """However few rows a task holds, every tree draws as many rows as the table has, whatever their partitions."""
+    grown = [fit_random_forest(df, ["a", "b"], "y", trees=3, held_rows=200).model.nodes for df in (cluster, cluster.repartition(3))]
+    assert grown[0].equals(grown[1])
+    roots = grown[0][grown[0]["id"] == 0]
+    assert roots["cover"].tolist() == [3015.0] * 3
+    leaves = grown[0][grown[0]["feature"] < 0]
+    assert leaves.groupby("treeID")["cover"].sum().tolist() == [3015.0] * 3 and set(leaves["value"]) == {0.0, 1.0}
+
+
 def test_leaf_bits_agree_with_plain_steps():
     """Trees of one leaf, of one word, of several words and too large for bits, over missing and infinite values."""
     rng = np.random.default_rng(3)
