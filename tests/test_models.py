@@ -1,5 +1,6 @@
 """Properties of the fitted detectors."""
 
+import os
 import pickle
 
 import numpy as np
@@ -204,6 +205,42 @@ def test_boosting_over_a_table_stores_its_scores(cluster, monkeypatch):
     assert stumps[0] == stumps[1] and len(stumps[0]) > 3
 
 
+def test_boosting_sums_the_lighter_children_alone(spark, cluster, monkeypatch):
+    """Over a table: one slot for each pair of children, and nothing is kept in the executors or on disk after the fit."""
+    asked, kept = [], []
+    level, drop = histogram.TableSums.level, histogram.TableSums._delete
+    monkeypatch.setattr(histogram, "STORED_TREES", 2)
+    monkeypatch.setattr(histogram.TableSums, "level", lambda self, tree, slots, n: asked.append((tree.levels, n)) or level(self, tree, slots, n))
+    monkeypatch.setattr(histogram.TableSums, "_delete", lambda self, rows: kept.append(rows.getCheckpointFile()) or drop(self, rows))
+    noisy = cluster.withColumn("y", ((F.col("a") + F.col("b") + F.col("id") % 3) > 1).cast("int"))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    over, inside = (fit_boosted_trees(noisy, ["a", "b"], "y", trees=6, depth=4, task_rows=n).model.nodes for n in (0, 10_000))
+    assert over.equals(inside)
+    assert {n for at, n in asked if at < 2} == {1} and max(n for at, n in asked if at == 3) in (3, 4)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    stored = [path for path in kept if path]
+    assert len(stored) >= 2 and not any(os.path.exists(path.removeprefix("file:")) for path in stored)
+
+
+@pytest.mark.parametrize("features", [2, 9])
+def test_column_comparisons_place_rows_like_single_steps(features):
+    rng = np.random.default_rng(features)
+    bins, y = rng.integers(0, 256, (features, 700)).astype(np.uint8), rng.integers(0, 2, 700)
+    tree = histogram.HeapTree.empty(4)
+    tree.value = rng.normal(size=tree.value.shape)
+    for at in range(15):  # some branches end early
+        if at == 0 or (tree.feature[(at - 1) // 2] >= 0 and rng.random() < 0.8):
+            tree.feature[at], tree.cut[at] = rng.integers(features), rng.integers(255)
+    tree.levels = 4
+    want = []
+    for i in range(700):
+        at = 0
+        while at < 15 and tree.feature[at] >= 0:
+            at = 2 * at + 1 + int(bins[tree.feature[at], i] > tree.cut[at])
+        want.append(tree.value[at, y[i]])
+    assert tree.gain(bins, y).tolist() == want
+
+
 def forest_rows(bins, y, n, size):
     """The rows as a task gets them, in blocks of ``size``."""
     starts = {(0, i): low for i, low in enumerate(range(0, len(y), size))}
