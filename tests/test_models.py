@@ -9,10 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from checks.exact import fin, raw_flows
+from checks import modelled
+from checks.exact import EXACT, fin, raw_flows
 from checks.modelled import classes
 from flowarden.functions.scalars import BENIGN_TEXT, CORE_FEATURES, explanation_text
-from flowarden.models import histogram
+from flowarden.models import compare, histogram
 from flowarden.models.attribution import Attributor, shapley_tables, shapley_values
 from flowarden.models.compare import ISOLATION, compare_models
 from flowarden.models.hybrid import HybridDetector
@@ -191,6 +192,28 @@ def test_rows_outside_the_sample_are_unseen(spark, sf_dir):
     assert {r["tn"] + r["fp"] + r["fn"] + r["tp"] for r in metrics if r["eval_set"] == "unseen"} == {total - 480}
 
 
+def test_folds_are_fitted_on_all_rows_of_the_others(cluster, monkeypatch):
+    """The registered queries fit every fold on four fifths of the whole table, not on a draw from them."""
+    fitted, called = [], []
+    monkeypatch.setattr(compare.HybridDetector, "fit", lambda df, *args, **kwargs: fitted.append({r["flow_id"] for r in df.collect()}) or called.append(kwargs) or HybridFit())
+    rows = cluster.withColumnRenamed("id", "flow_id").withColumns({f: F.col("a") for f in CORE_FEATURES})
+    monkeypatch.setattr(modelled, "fin", lambda s, d: rows)
+    monkeypatch.setattr(modelled, "FIT_ROWS", 5)
+    for query in (modelled.MODELLED["m10_cross_validate"], EXACT["m10_folds_hold_every_row"][0]):
+        fitted.clear()
+        held = query(cluster.sparkSession, "").collect()
+        assert len(held) == 5 and [len(ids) for ids in fitted] == [2412] * 5
+        for i in range(3015):
+            assert sum(i in ids for ids in fitted) == 4
+
+
+class HybridFit:
+    """A detector that flags nothing."""
+
+    def transform(self, df):
+        return df.withColumn("pred", F.lit(0))
+
+
 def test_boosting_over_a_table_stores_its_scores(cluster, monkeypatch):
     """More trees than are kept between two stored scores: the same trees as inside one task, and no pass for the last level."""
     monkeypatch.setattr(histogram, "STORED_TREES", 2)
