@@ -118,13 +118,14 @@ def _history(spark: SparkSession, path: str) -> DataFrame | None:
         return None  # no table yet
 
 
-def append_history(df: DataFrame, path: str, key: str = "id", attribution: str = "contributions", batch: int | None = None) -> DataFrame:
+def append_history(df: DataFrame, path: str, key: str = "id", attribution: str = "contributions", batch: int | None = None, position: str | None = None) -> DataFrame:
     """Append predictions, stamped with the write time, attribution as JSON. Returns the appended rows.
 
     Stored by day and mode so that paged reads prune. Without ``batch`` ids continue the table's, for a single writer at
     a time. With a batch number, which no other batch of the table may have (from 1 to 2^31 - 1), ids are the batch's own
     range of 2^32: writers never meet, nothing is read to find the last id, and a batch that is there already (a retry)
-    is not written again.
+    is not written again. ``position`` names a column that holds the place of each row, from 1, in the order of the key: the
+    rows are then written where they are, without being sorted.
     """
     spark = df.sparkSession
     if batch is None:
@@ -139,7 +140,7 @@ def append_history(df: DataFrame, path: str, key: str = "id", attribution: str =
             return own.select(*EXPORT_COLUMNS, "shap_explanation", "day")
     now = spark.sql("SELECT current_timestamp() AS t").first()[0]
     stamp = F.lit(now).cast("timestamp")
-    numbered = ranked(df, [key], "__pos")
+    numbered = ranked(df, [key], "__pos") if position is None else df.withColumnRenamed(position, "__pos")
     rows = numbered.withColumns(
         {
             "id": F.col("__pos") + F.lit(last),
@@ -149,7 +150,7 @@ def append_history(df: DataFrame, path: str, key: str = "id", attribution: str =
         }
     )
     out = rows.select(*EXPORT_COLUMNS, "shap_explanation", "day")
-    out.write.mode("append").partitionBy("day", "mode").parquet(path)
+    out.write.mode("append").option("compression", "zstd").partitionBy("day", "mode").parquet(path)
     return out
 
 

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks.exact import raw_flows
 from checks.modelled import classes
 from flowarden.functions import scalars
 from flowarden.functions.scalars import IMPACT_TYPE
 from flowarden.operators import alerts, features, history, ordered, quantiles, sampling
-from flowarden.plans import studies
+from flowarden.plans import detection, studies
 from flowarden.sources import tables
 
 
@@ -115,6 +116,36 @@ def test_ranks_by_hash_are_those_of_the_order(spark):
     assert got.columns == ["id", "rank"] and {r["id"]: r["rank"] for r in got.collect()} == expect
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 40])
+def test_ranks_by_range_are_those_of_the_order(skewed, ranges):
+    """Also with a key that is missing here and there; rows come out in their order, a range a task."""
+    df = skewed[0].withColumn("v", F.when(F.col("id") % 50 != 3, F.col("v")))
+    expect = {r["id"]: r["rank"] for r in ordered.ranked(df, ["v", "id"], ranges=1).collect()}
+    got = ordered.ranked_by_range(df, ["v", "id"], "rank", ranges)
+    assert got.columns == ["id", "g", "v", "rank"]
+    rows = got.collect()
+    assert {r["id"]: r["rank"] for r in rows} == expect and [r["rank"] for r in rows] == sorted(expect.values())
+    assert ranges is None or got.rdd.getNumPartitions() <= ranges + 1
+
+
+def test_history_moves_narrow_rows_only(spark, sf_dir, tmp_path, monkeypatch):
+    """Scored rows are stored once, in key order and without what follows from them, and go to the history unsorted."""
+    stored = {}
+    store = detection.materialise
+    monkeypatch.setattr(detection, "materialise", lambda df, label, *args: stored.setdefault(label, (df.columns, store(df, label, *args)))[1])
+    model = detection.train_hybrid(*classes(spark, sf_dir), "flow_id", n=300, forest_trees=5, trees=3)
+    monkeypatch.setattr(tables, "ranked", None)
+    path = f"{tmp_path}/history"
+    rep = detection.offline_detect(raw_flows(spark, sf_dir), model, "flow_id", explain=True, history_path=path)
+    columns, rows = stored["offline"]
+    assert "flow_details" not in columns and "flow_details" in rep.scored.columns and "__pos" not in rep.scored.columns
+    expect = {r["rank"]: r for r in ordered.ranked(rep.scored, ["flow_id"], ranges=1).select("rank", "flow_id", "prob", F.to_json("contributions").alias("c")).collect()}
+    got = {r["id"]: r for r in spark.read.parquet(path).collect()}
+    assert got.keys() == expect.keys() and len(got) == raw_flows(spark, sf_dir).count()
+    assert all(got[i]["xgb_prob"] == r["prob"] and got[i]["shap_explanation"] == r["c"] for i, r in expect.items())
+    assert {r["__pos"]: r["flow_id"] for r in rows.select("__pos", "flow_id").collect()} == {i: r["flow_id"] for i, r in expect.items()}
+
+
 def test_flow_report_reads_the_flows_once(spark, sf_dir, monkeypatch):
     """Rows are put in random order without a sample of their keys, and stand on the clock as before."""
     both = sampling.label_union(*classes(spark, sf_dir), "y").withColumn("__h", sampling.hash_order("flow_id", 42))
