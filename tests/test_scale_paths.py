@@ -267,6 +267,21 @@ def test_owned_intermediates_go(spark):
     assert not os.path.exists(place)
 
 
+def test_shuffle_files_of_a_write_go_with_it(spark, tmp_path):
+    from flowarden.session import FREE_SHUFFLES, shuffles_freed
+
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in (str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if name.startswith("shuffle_")}
+
+    kept, df = files(), ordered.ranked_by_range(spark.range(5000), ["id"], ranges=4)
+    kept |= files()
+    with shuffles_freed(spark):
+        df.write.parquet(f"{tmp_path}/ranked")
+    assert files() <= kept and spark.conf.get(FREE_SHUFFLES) == "false"
+    assert spark.read.parquet(f"{tmp_path}/ranked").count() == 5000
+
+
 @pytest.mark.parametrize("skip, n", [(0, 5), (1500, 30), (4000, 7), (5990, 30), (7000, 3), (40, 0)])
 def test_rows_between_positions(skewed, skip, n):
     df, rows = skewed
